@@ -94,13 +94,12 @@ def sensor_of(scene_id: Column, collection: Column) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("cannot identify sensor of "), scene_id))))
 
 
-def file_name_of(url: Column, scene_id: Column, logical: str) -> Column:
+def file_name_of(url: Column, scene_id: Column, logical: Column) -> Column:
     """Last path part of an asset URL, else ``<scene>_<band>.tif``."""
     from .codes import safe_name
-    path = F.regexp_replace(url, r"[?#].*$", "")
-    name = F.url_decode(F.substring_index(path, "/", -1))
+    name = F.url_decode(F.substring_index(F.regexp_replace(url, r"[?#].*$", ""), "/", -1))
     return F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(
-        F.concat(safe_name(scene_id), F.lit(f"_{logical}.tif")))
+        F.concat(safe_name(scene_id), F.lit("_"), logical, F.lit(".tif")))
 
 
 def canonical_bands(scene_id: Column, collection: Column, assets: Column,
@@ -109,22 +108,14 @@ def canonical_bands(scene_id: Column, collection: Column, assets: Column,
 
     ``assets`` is a MAP of sensor asset key to URL.
     """
-    l30, s30 = l30 or L30_ASSETS, s30 or S30_ASSETS
-
-    def bands(table: dict[str, str]) -> Column:
-        whole = None
-        for key in table.values():
-            has = F.map_contains_key(assets, key)
-            whole = has if whole is None else whole & has
-        entries = []
-        for logical, key in table.items():
-            url = F.try_element_at(assets, F.lit(key))
-            entries += [F.lit(logical), F.struct(
-                F.lit(key).alias("asset_key"), url.alias("url"),
-                file_name_of(url, scene_id, logical).alias("filename"))]
-        return F.when(whole, F.create_map(*entries))
-
-    return F.when(sensor_of(scene_id, collection) == "S30", bands(s30)).otherwise(bands(l30))
+    def literal(table: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    wanted = F.when(sensor_of(scene_id, collection) == "S30", literal(s30 or S30_ASSETS)) \
+        .otherwise(literal(l30 or L30_ASSETS))
+    whole = F.forall(F.map_values(wanted), lambda key: F.array_contains(F.map_keys(assets), key))
+    return F.when(whole, F.transform_values(wanted, lambda logical, key: F.struct(
+        key.alias("asset_key"), F.try_element_at(assets, key).alias("url"),
+        file_name_of(F.try_element_at(assets, key), scene_id, logical).alias("filename"))))
 
 
 def all_present(columns: Sequence[Column]) -> Column:

@@ -1,5 +1,5 @@
-from . import (composite, disagg, folds, gapfill, grid, manifest, metrics, mosaic, quality,
+from . import (composite, disagg, folds, gapfill, grid, labels, manifest, metrics, mosaic, quality,
                ridge, scoring, spatial, tables, zonal)
 
-__all__ = ["composite", "disagg", "folds", "gapfill", "grid", "manifest", "metrics", "mosaic",
+__all__ = ["composite", "disagg", "folds", "gapfill", "grid", "labels", "manifest", "metrics", "mosaic",
            "quality", "ridge", "scoring", "spatial", "tables", "zonal"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -130,11 +130,11 @@ def fold_statistics(df: DataFrame, folds: DataFrame, bands: Sequence[str]) -> Da
     train = fold_years(folds).filter(F.col("split") == "train").select("test_year", "year")
     rows = train.join(years, "year")
     means = rows.groupBy("test_year").agg(*[
-        ratio(F.sum(F.col(f"n_{b}") * F.col(f"m_{b}")), F.sum(f"n_{b}")).alias(f"M_{b}") for b in bands])
+        ratio(F.sum(F.col(f"n_{b}") * F.col(f"m_{b}")), F.sum(f"n_{b}")).alias(f"all_{b}") for b in bands])
     return rows.join(means, "test_year").groupBy("test_year").agg(*[a for b in bands for a in (
-        F.sum(f"n_{b}").cast("long").alias(f"{b}_n"), F.min(f"M_{b}").alias(f"{b}_mean"),
+        F.sum(f"n_{b}").cast("long").alias(f"{b}_n"), F.min(f"all_{b}").alias(f"{b}_mean"),
         band_std(F.sqrt(ratio(F.sum(F.col(f"n_{b}") * (
-            F.col(f"v_{b}") + F.pow(F.col(f"m_{b}") - F.col(f"M_{b}"), F.lit(2)))),
+            F.col(f"v_{b}") + F.pow(F.col(f"m_{b}") - F.col(f"all_{b}"), F.lit(2)))),
             F.sum(f"n_{b}")))).alias(f"{b}_std"))])
 
 
@@ -167,3 +167,19 @@ def nearest_statistics(checkpoints: DataFrame, stored: DataFrame) -> DataFrame:
     hit = sized_join(tried, stored.select("folder").distinct(), ["folder"], "left_semi")
     best = hit.groupBy("path").agg(F.max_by("folder", "level").alias("folder"))
     return checkpoints.join(best, "path", "left")
+
+
+def sweep(df: DataFrame, folds: DataFrame, target: str,
+          predictor: Callable[[DataFrame, Column], Column]) -> DataFrame:
+    """Metrics of every fold's test year in one job.
+
+    ``predictor(row, train_mean)`` may use the row and the fold's train-only target mean.
+    Folds marked with an error are left out, so one bad fold does not stop the others.
+    """
+    from .metrics import regression_metrics
+    live = folds.filter(F.col("error").isNull()) if "error" in folds.columns else folds
+    stats = fold_statistics(df, live, [target]).select(F.col("test_year").alias("year"),
+                                                       F.col(f"{target}_mean").alias("_train_mean"))
+    scored = sized_join(df, stats, ["year"]).withColumnRenamed("year", "test_year")
+    scored = scored.withColumn("pred", predictor(scored, F.col("_train_mean")))
+    return regression_metrics(scored, ["test_year"], "pred", target)

@@ -57,7 +57,7 @@ def multi_level(df: DataFrame, levels: dict[str, Sequence[str]], pred: str = "pr
     fine = materialise(_partials(df.filter(F.col(pred).isNotNull() & F.col(target).isNotNull()), dims, pred, target),
                        "metric_partials")
     n = F.col("n")
-    sums = [F.sum(n).alias("N"), *[(F.sum(n * F.col(c)) / F.sum(n)).alias(f"w_{c}")
+    sums = [F.sum(n).alias("total_n"), *[(F.sum(n * F.col(c)) / F.sum(n)).alias(f"w_{c}")
                                    for c in ("mae", "_mse", "bias", "_abs_t", "_mp", "_mt", "_vp", "_vt", "_cpt")],
             (F.sum(n * F.col("_mp") * F.col("_mp")) / F.sum(n)).alias("w_pp"),
             (F.sum(n * F.col("_mt") * F.col("_mt")) / F.sum(n)).alias("w_tt"),
@@ -70,7 +70,7 @@ def multi_level(df: DataFrame, levels: dict[str, Sequence[str]], pred: str = "pr
     for name, value in gid.items():
         level = F.when(F.col("_gid") == value, F.lit(name)).otherwise(level)
     merged = grouped.select(
-        level.alias("level"), *dims, F.col("N").alias("n"), F.col("w_mae").alias("mae"), F.col("w__mse").alias("_mse"),
+        level.alias("level"), *dims, F.col("total_n").alias("n"), F.col("w_mae").alias("mae"), F.col("w__mse").alias("_mse"),
         F.col("w_bias").alias("bias"), F.col("w__abs_t").alias("_abs_t"),
         (F.col("w__vp") + F.col("w_pp") - F.col("w__mp") * F.col("w__mp")).alias("_vp"),
         (F.col("w__vt") + F.col("w_tt") - F.col("w__mt") * F.col("w__mt")).alias("_vt"),

@@ -39,15 +39,14 @@ def combine(stats: DataFrame, features: Sequence[str], target: str, keys: Sequen
     names = [*features, target]
     keys = list(keys)
     means = stats.groupBy(*keys).agg(
-        F.sum("n").alias("N"),
-        *[ratio(F.sum(F.col("n") * F.col(f"mean_{c}")), F.sum("n")).alias(f"M_{c}") for c in names])
+                *[ratio(F.sum(F.col("n") * F.col(f"mean_{c}")), F.sum("n")).alias(f"all_{c}") for c in names])
     both = stats.join(means, keys)
 
     def moved(a: str, b: str) -> Column:
-        da, db = (F.col(f"mean_{c}") - F.col(f"M_{c}") for c in (a, b))
+        da, db = (F.col(f"mean_{c}") - F.col(f"all_{c}") for c in (a, b))
         return F.sum(F.col(f"cp_{a}__{b}") + F.col("n") * da * db).alias(f"cp_{a}__{b}")
     return both.groupBy(*keys).agg(
-        F.sum("n").alias("n"), *[F.min(f"M_{c}").alias(f"mean_{c}") for c in names],
+        F.sum("n").alias("n"), *[F.min(f"all_{c}").alias(f"mean_{c}") for c in names],
         *[moved(a, b) for a, b in _pairs(names)])
 
 

@@ -93,10 +93,11 @@ def occlusion(chips: DataFrame, values: str, n_slices: int, score: Callable[[Col
     With an empty mask the unmasked mean is used.
     """
     slice_of = slice_of or (lambda i: i)
+
+    def without(s: int) -> Column:
+        return F.transform(F.col(values), lambda v, i: F.when(slice_of(i) == s, F.lit(0.0)).otherwise(v))
     # one row carries all occluded scores, so chips are read once and never multiplied
-    variants = [score(F.col(values))] + [
-        score(F.transform(F.col(values), lambda v, i, s=s: F.when(slice_of(i) == s, F.lit(0.0)).otherwise(v)))
-        for s in range(n_slices)]
+    variants = [score(F.col(values)), *[score(without(s)) for s in range(n_slices)]]
 
     def mean(c: Column) -> Column:
         return F.coalesce(F.avg(F.when(mask, c)), F.avg(c))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,14 +50,26 @@ def read_county_yield(spark: SparkSession, path: str) -> DataFrame:
 def read_vi_summaries(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """All county summary CSVs below a folder with ``source_file``; unreadable files are skipped.
 
-    Columns absent from a file are NULL; columns are matched by header name.
+    Files are read one header layout at a time, so columns go by name and a column absent
+    from a file is NULL. Only header lines reach the driver.
     """
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", pattern).option("enforceSchema", False) \
-        .option("ignoreCorruptFiles", True).schema(schemas.COUNTY_VI_TEXT).csv(root)
-    raw = raw.withColumn("source_file", F.col("_metadata.file_name"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) \
+        .option("ignoreCorruptFiles", True).text(root)
+    heads = lines.filter(F.col("value").contains("county_fips")) \
+        .groupBy(F.col("value").alias("header")).agg(F.collect_set("_metadata.file_path").alias("paths")).collect()
+    known = schemas.COUNTY_VI_TEXT.fieldNames()
+    parts = []
+    for h in heads:
+        names = [n.strip().strip('"') for n in h["header"].split(",")]
+        layout = ", ".join(f"`{n}` string" for n in names)
+        part = spark.read.schema(layout).option("header", True).option("ignoreCorruptFiles", True).csv(h["paths"])
+        parts.append(part.select(*[c for c in known if c in names], F.col("_metadata.file_name").alias("source_file")))
+    if not parts:
+        raise ValueError(f"no readable county summaries under {root}")
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in known if c not in raw.columns})
     typed = raw.withColumns({c: F.col(c).try_cast(t) for c, t in schemas.COUNTY_VI_TYPES.items()})
-    return typed.withColumn("county_fips", codes.clean_fips(F.col("county_fips")))
+    return typed.withColumn("county_fips", codes.clean_fips(F.col("county_fips"))).select(*known, "source_file")
 
 
 def read_county_shapes(shapes: DataFrame, state: str | None = None, county_fips: str | None = None,
@@ -101,18 +114,15 @@ def scan_scenes(scenes: DataFrame, t0: str, t1: str, bbox: tuple[float, float, f
     """
     live = scenes.filter((F.col("ts") >= F.lit(t0).cast("timestamp_ntz"))
                          & (F.col("ts") <= F.lit(t1).cast("timestamp_ntz")))
-    cloud = F.col("cloud_cover")
-    if null_cloud == "drop":
-        cloud = F.coalesce(cloud, F.lit(999.0))
-        live = live.withColumn("cloud_cover", cloud).filter(F.col("cloud_cover") <= max_cloud)
-    else:
-        live = live.filter(cloud.isNull() | (cloud <= max_cloud))
     if bbox is not None:
         x0, y0, x1, y1 = (F.lit(float(v)) for v in bbox)
         live = live.filter(F.col("xmin").isNull() | ((F.col("xmax") >= x0) & (F.col("xmin") <= x1)
                                                      & (F.col("ymax") >= y0) & (F.col("ymin") <= y1)))
     one = last_by(live, ["id"], ["ts"])
-    return one.orderBy("cloud_cover", "id") if null_cloud == "drop" else one.orderBy("ts", "id")
+    if null_cloud == "drop":
+        one = one.withColumn("cloud_cover", F.coalesce("cloud_cover", F.lit(999.0)))
+        return one.filter(F.col("cloud_cover") <= max_cloud).orderBy("cloud_cover", "id")
+    return one.filter(F.col("cloud_cover").isNull() | (F.col("cloud_cover") <= max_cloud)).orderBy("ts", "id")
 
 
 def read_chip_stack(labels: DataFrame, months: DataFrame, crop: DataFrame, keys: list[str],
