@@ -106,10 +106,11 @@ LEVELS = {"global": [], "year": ["year"], "state_year": ["state", "year"], "coun
 
 
 @check("A21_multi_level_metrics", with_("predictions") + " UNION ALL ".join(
-    f"SELECT '{lv}' AS level, " + ", ".join((c if c in cols else f"NULL::{'INTEGER' if c == 'year' else 'VARCHAR'}") + f" AS {c}" for c in ("county_fips", "sample_id", "state", "year")) +
+    f"SELECT '{lv}' AS level, " + ", ".join((f"CAST({c} AS VARCHAR)" if c in cols else "NULL::VARCHAR") + f" AS {c}" for c in ("county_fips", "sample_id", "state", "year")) +
     f", {_sql_metrics()} FROM predictions" + (f" GROUP BY {', '.join(cols)}" if cols else "") for lv, cols in LEVELS.items()))
 def a21(spark, d):
-    return rounded(metrics.multi_level(fx.predictions(spark, d), LEVELS), *_FLOATS)
+    out = metrics.multi_level(fx.predictions(spark, d), LEVELS)
+    return rounded(out.withColumn("year", F.col("year").cast("string")), *_FLOATS)
 
 
 @check("A22_macro_average", with_("predictions", g="SELECT county_fips, avg(abs(pred - target)) AS mae, sqrt(avg((pred - target) ** 2)) AS rmse, 1 - avg((pred - target) ** 2) / var_pop(target) AS r2, covar_pop(pred, target) / (stddev_pop(pred) * stddev_pop(target)) AS r FROM predictions GROUP BY 1") +
@@ -233,6 +234,12 @@ def l01c(spark, d):
     return _text(folds.assert_disjoint(folds.make_folds(_years(spark, d), "explicit_map", _map(spark, d))), "val_years", "train_years")
 
 
+@check("U04_assert_disjoint", f"WITH ys AS ({_YS}), {_MAPPED} SELECT test_year, CAST(1 AS BIGINT) AS n_val, (SELECT count(*) FROM ys) - 2 AS n_train FROM mp")
+def u04(spark, d):
+    f = folds.assert_disjoint(folds.make_folds(_years(spark, d), "explicit_map", _map(spark, d)))
+    return f.select("test_year", F.size("val_years").cast("long").alias("n_val"), F.size("train_years").cast("long").alias("n_train"))
+
+
 @check("L02_assign_split", with_("predictions", ys=_YS).rstrip() + f""", {_MAPPED} SELECT test_year, p.year, CASE WHEN p.year = test_year THEN 'test' WHEN p.year = v THEN 'val' ELSE 'train' END AS split, count(*) AS n
  FROM predictions p JOIN mp ON true WHERE p.year IN (SELECT y FROM ys) GROUP BY 1, 2, 3""")
 def l02(spark, d):
