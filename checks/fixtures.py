@@ -5,14 +5,23 @@ Each ``SQL`` entry is the body of a common table expression with the same column
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 STATES = ("IL", "IA", "IN", "MN", "NE")
 FIPS = ("17", "19", "18", "27", "31")
 
 
+@lru_cache(maxsize=None)
+def _schema(path: str):
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is looked up once per path."""
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def state_of(k: Column) -> Column:

@@ -113,11 +113,10 @@ def diagnostics(spread: DataFrame, features: Sequence[str] = FEATURES) -> DataFr
     y = "pseudo_yield"
     once = ["crop_pixel_count", "valid_vi_pixel_count", "output_pixel_count", "mean_raw_weight",
             *[f"{f}_{s}" for f in features for s in ("mu", "sd")]]
-    agg = spread.groupBy(*keys).agg(
+    out = grouped_percentiles(spread, keys, {"pseudo_yield_median_bu_ac": (y, 0.5)}, also=[
         F.min("state").alias("state"), F.min("yield_bu_ac").alias("nass_yield_bu_ac"),
         *[F.min(c).alias(c) for c in once],
         F.avg(y).alias("pseudo_yield_mean_bu_ac"), F.min(y).alias("pseudo_yield_min_bu_ac"),
-        F.max(y).alias("pseudo_yield_max_bu_ac"), F.stddev_pop(y).alias("pseudo_yield_std_bu_ac"))
-    median = grouped_percentiles(spread, keys, {"pseudo_yield_median_bu_ac": (y, 0.5)})
-    return agg.join(median, keys).withColumn(
+        F.max(y).alias("pseudo_yield_max_bu_ac"), F.stddev_pop(y).alias("pseudo_yield_std_bu_ac")])
+    return out.withColumn(
         "mean_difference_from_nass", F.col("pseudo_yield_mean_bu_ac") - F.col("nass_yield_bu_ac"))

@@ -14,11 +14,11 @@ TARGET_CRS, TARGET_RES, MIN_VALID_PCT = "EPSG:5070", 30.0, 0.1
 
 def label_profile(pixels: DataFrame, grids: DataFrame, key: str = "raster_id", value: str = "value") -> DataFrame:
     """Counts, percentiles, moments and grid checks per raster. Absent rows are nodata."""
-    stats = pixels.groupBy(key).agg(
+    wanted = {"p25": (value, .25), "median": (value, .5), "p75": (value, .75)}
+    stats = grouped_percentiles(pixels, [key], wanted, also=[
         F.count(value).alias("valid_px"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    pct = grouped_percentiles(pixels, [key], {"p25": (value, .25), "median": (value, .5), "p75": (value, .75)})
-    out = grids.join(stats, key, "left").join(pct, key, "left") \
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")])
+    out = grids.join(stats, key, "left") \
         .withColumn("valid_px", F.coalesce("valid_px", F.lit(0))) \
         .withColumn("total_px", F.col("height").cast("long") * F.col("width"))
     out = out.withColumn("nodata_px", F.col("total_px") - F.col("valid_px")) \
@@ -53,11 +53,8 @@ def band_report(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
     for b in bands:
         aggs += [F.count(b).alias(f"{b}__n"), F.min(b).alias(f"{b}__min"), F.max(b).alias(f"{b}__max"),
                  F.avg(b).alias(f"{b}__mean"), F.stddev_pop(b).alias(f"{b}__std")]
-    stats = pixels.agg(*aggs)
     wanted = {f"{b}__{n}": (b, p) for b in bands for n, p in (("median", .5), ("p02", .02), ("p98", .98))}
-    pct = grouped_percentiles(pixels, [], wanted).first()
-    one = stats.withColumns({c: F.lit(pct[c]).cast("double") for c in wanted})
-
+    one = grouped_percentiles(pixels, [], wanted, also=aggs)
     rows = one.select(F.explode(F.array(*[F.struct(
         F.lit(b).alias("band"), F.col("_total").alias("total_px"), F.col(f"{b}__n").alias("valid_px"),
         (F.col("_total") - F.col(f"{b}__n")).alias("missing_px"),

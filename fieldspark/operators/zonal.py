@@ -19,12 +19,11 @@ def zonal_statistics(counties: DataFrame, pixels: DataFrame, keys: list[str], va
     zero counts and a hot county costs one partial aggregate per task.
     """
     on_crop = pixels.filter(F.col(crop))
-    stats = on_crop.groupBy(*keys).agg(
+    stats = grouped_percentiles(on_crop, keys, {"median": (value, 0.5)}, also=[
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"),
         F.max(value).alias("max"), F.count(value).alias("valid_pixel_count"),
-        F.count(F.lit(1)).alias("crop_pixel_count"))
-    median = grouped_percentiles(on_crop, keys, {"median": (value, 0.5)})
-    out = counties.join(stats, keys, "left").join(median, keys, "left")
+        F.count(F.lit(1)).alias("crop_pixel_count")])
+    out = counties.join(stats, keys, "left")
     n = F.coalesce("valid_pixel_count", F.lit(0))
     crop_n = F.coalesce("crop_pixel_count", F.lit(0))
     return out.withColumn("valid_pixel_count", n).withColumn("crop_pixel_count", crop_n) \

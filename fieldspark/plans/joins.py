@@ -1,8 +1,8 @@
 """Joins between a large fact table and a reduced side.
 
-The reduced side is written out first, so its row count is known before the
-plan is chosen. Below the bound it is broadcast and the fact table is not
-shuffled at all; above it the fact side is salted, so one hot key is spread
+The reduced side is broadcast only when its size is known to be small: either
+Catalyst bounds it from file sizes, or it is written out once and its files are
+measured. Beyond the bound the fact side is salted, so one hot key is spread
 over many tasks instead of landing in one.
 """
 
@@ -12,10 +12,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import materialise
 
-#: Row bound under which a fixed-width reduced table may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Size under which a reduced table may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Number of slices a hot key is spread over when broadcasting is ruled out.
 SALTS = 32
+# nodes that can emit more than they read, so that input size bounds nothing
+_GROWING = ("Generate", "Expand", "MapIn", "FlatMap", "Union")
+
+
+def bounded_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size of ``df`` where it is an upper bound from file sizes, else None."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in _GROWING):
+        return None
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -35,13 +45,16 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_rows: int = BROADCAST_ROWS, written: bool = False) -> DataFrame:
-    """Join a fact table with a reduced table, broadcasting only after counting it.
+               max_bytes: int = BROADCAST_BYTES, written: bool = False) -> DataFrame:
+    """Join a fact table with a reduced table, broadcasting only below a known size.
 
-    Pass ``written=True`` when ``small`` already is a stored table, so that the
-    count reads file footers and no second copy is made.
+    Pass ``written=True`` when ``small`` already is a stored table, so that no second
+    copy is made.
     """
-    table = small if written else materialise(small, "reduced")
-    if table.count() <= max_rows:
-        return big.join(F.broadcast(table), on, how)
-    return salted_join(big, table, on, how)
+    size = bounded_bytes(small)
+    if not written and (size is None or size > max_bytes):
+        small = materialise(small, "reduced")
+        size = bounded_bytes(small)
+    if size is not None and size <= max_bytes:
+        return big.join(F.broadcast(small), on, how)
+    return salted_join(big, small, on, how)

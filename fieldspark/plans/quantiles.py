@@ -10,32 +10,50 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import sized_join
+from .joins import bounded_bytes, sized_join
 from .shared import materialise
 
 #: Groups up to this many rows use the built-in aggregate.
 GROUP_LIMIT = 2_000_000
+#: Inputs bounded by this size fit one task whole, so no group needs counting.
+INPUT_LIMIT = 64 << 20
 _COARSE = 32
 _FINE = 32
 
 
 def grouped_percentiles(df: DataFrame, keys: Sequence[str],
                         wanted: Mapping[str, tuple[str, float]],
-                        group_limit: int = GROUP_LIMIT) -> DataFrame:
+                        also: Sequence[Column] = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per group with ``wanted[out] = (value column, fraction)``.
 
-    NULL values are ignored; a group without values has NULL percentiles.
+    NULL values are ignored; a group without values has NULL percentiles. ``also`` are
+    further aggregates of ``df``, computed in the same pass where possible.
     """
-    keys = list(keys)
+    keys, also = list(keys), list(also)
     values = sorted({c for c, _ in wanted.values()})
     slim = df.select(*keys, *values)
-    counts = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    if (counts["n"] or 0) <= group_limit:
-        return slim.groupBy(*keys).agg(
-            *[F.percentile(F.col(c), F.lit(p)).alias(out) for out, (c, p) in wanted.items()])
-    return _by_ranges(slim, keys, values, wanted)
+    if _groups_fit(slim, keys, group_limit):
+        return df.groupBy(*keys).agg(
+            *also, *[F.percentile(F.col(c), F.lit(p)).alias(out) for out, (c, p) in wanted.items()])
+    ranked = _by_ranges(slim, keys, values, wanted)
+    if not also:
+        return ranked
+    rest = df.groupBy(*keys).agg(*also)
+    if keys:
+        return rest.join(ranked, keys)
+    row = ranked.first()
+    return rest.withColumns({out: F.lit(row[out]).cast("double") for out in wanted})
+
+
+def _groups_fit(slim: DataFrame, keys: list[str], group_limit: int) -> bool:
+    """True when no group can be too large for one task."""
+    size = bounded_bytes(slim)
+    if group_limit >= GROUP_LIMIT and size is not None and size <= INPUT_LIMIT:
+        return True
+    largest = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
+    return (largest["n"] or 0) <= group_limit
 
 
 def _by_ranges(slim: DataFrame, keys: list[str], values: list[str],
@@ -56,8 +74,7 @@ def _by_ranges(slim: DataFrame, keys: list[str], values: list[str],
     def below(cut, v):
         return F.size(F.filter(cut, lambda c: c < v))
 
-    tagged = sized_join(long, sketch.select(*group, "_cut", "_coarse"), group, written=True,
-                        max_rows=5_000)
+    tagged = sized_join(long, sketch.select(*group, "_cut", "_coarse"), group, written=True)
     tagged = (tagged.withColumn("_c", below(F.col("_coarse"), F.col("_v")))
               .withColumn("_b", F.col("_c") * _FINE + below(
                   F.slice("_cut", F.col("_c") * _FINE + 1, F.lit(_FINE - 1)), F.col("_v")))

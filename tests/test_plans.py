@@ -26,7 +26,7 @@ def test_salted_join_equals_plain_join(spark):
 def test_sized_join_has_another_way_beyond_the_bound(spark):
     big = skewed(spark)
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
-    near, far = sized_join(big, small, ["k"]), sized_join(big, small, ["k"], max_rows=3)
+    near, far = sized_join(big, small, ["k"]), sized_join(big, small, ["k"], max_bytes=3)
     assert rows(near.select("id", "x")) == rows(far.select("id", "x"))
     assert "BroadcastHashJoin" in near._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in far._jdf.queryExecution().optimizedPlan().toString()
@@ -54,7 +54,7 @@ def test_percentiles_by_ranges_without_keys_and_with_constant_values(spark):
 def test_percentile_of_a_group_without_values_is_null(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, None)], "k int, v double")
     for limit in (10, 0):
-        got = {r["k"]: r["m"] for r in grouped_percentiles(df, ["k"], {"m": ("v", .5)}, limit).collect()}
+        got = {r["k"]: r["m"] for r in grouped_percentiles(df, ["k"], {"m": ("v", .5)}, group_limit=limit).collect()}
         assert got == {1: 3.0, 2: None}
 
 
