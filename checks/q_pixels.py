@@ -133,7 +133,7 @@ def _profile(spark, d):
 
 
 @check("A09_label_profile", with_("pixel", "grids", lab=_LABELS, p=_PROFILE) + f"""SELECT raster_id, total_px, valid_px, nodata_px, pct_valid, {', '.join(f'{R(c, 3)} AS "{n}"' for c, n in (
-    ('mn', 'min'), ('p25', 'p25'), ('md', 'median'), ('p75', 'p75'), ('mx', 'max')))}, {R('mean', 3)} AS mean, {R('std', 3)} AS std, crs_ok, res_ok FROM p""")
+    ('mn', 'min'), ('p25', 'p25'), ('md', 'median'), ('p75', 'p75'), ('mx', 'max')))}, round(round_even(mean, 3), 3) AS mean, round(round_even(std, 3), 3) AS std, crs_ok, res_ok FROM p""")
 def a09(spark, d):
     out = _profile(spark, d).select("raster_id", "total_px", "valid_px", "nodata_px", "pct_valid", "min", "p25", "median", "p75", "max", "mean", "std", "crs_ok", "res_ok")
     return rounded(out, "min", "p25", "median", "p75", "max", "mean", "std", digits=3)

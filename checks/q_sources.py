@@ -67,7 +67,8 @@ def s05(spark, d):
     return rounded(readers.read_pixels(raw, ["state", "year", "row", "col"]), *readers.STACK_4)
 
 
-@check("S06_raster_inventory")
+@check("S06_raster_inventory", with_("grids", g="SELECT DISTINCT state, year FROM grids") + """SELECT s.state, CAST(y AS INTEGER) AS year, g.year IS NOT NULL AS has_label, g.year IS NOT NULL AND g.year % 3 <> 0 AS has_mask
+ FROM (SELECT DISTINCT state FROM g) s JOIN (SELECT unnest(range(1995, 2002)) AS y) ON true LEFT JOIN g ON g.state = s.state AND g.year = y WHERE NOT (g.year IS NOT NULL AND g.year % 3 <> 0)""")
 def s06(spark, d):
     root = shared_path(spark, "rasters")
     g = fx.grids(spark, d).select("state", "year").distinct()
@@ -159,7 +160,7 @@ def k02(spark, d):
         "state", "year", "row", "col", "ln", "NDVI_mean", "EVI_obsCount", "crop_mask", "valid_vi_mask")
 
 
-@check("K03_write_summary")
+@check("K03_write_summary", with_("county_yield") + "SELECT year, 'county' AS unit, CAST(3 * count(*) AS BIGINT) AS n_over_formats FROM county_yield GROUP BY 1")
 def k03(spark, d):
     path = shared_path(spark, "summary")
     out = fx.county_yield(spark, d).groupBy("year").agg(F.avg("yield_bu_ac").alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -172,7 +173,7 @@ def k03(spark, d):
     return back.groupBy("year", "unit").agg(F.sum("n").alias("n_over_formats"))
 
 
-@check("K04_append_log")
+@check("K04_append_log", with_("grids") + "SELECT CASE WHEN crs = 'EPSG:5070' THEN 'run-1' ELSE 'run-2' END AS run_id, crs = 'EPSG:5070' AS ok, count(*) AS n FROM grids GROUP BY 1, 2")
 def k04(spark, d):
     path = shared_path(spark, "log")
     units = fx.grids(spark, d).select(F.col("raster_id").alias("unit"), (F.col("crs") == "EPSG:5070").alias("ok"))
@@ -441,10 +442,15 @@ def p25(spark, d):
     return rounded(scoring.augment(p, "sample_id", 512, 512, 7, ["pred"]), "pred", "target")
 
 
-@check("P25b_augment_noise")
+_WHERE = """sample_id || '|' || CAST("row" AS VARCHAR) || '|' || CAST(col AS VARCHAR)"""
+
+
+@check("P25b_augment_noise", with_("predictions") + f"""SELECT sample_id, year, CASE WHEN {_sql_unit(7, 'h', 'sample_id')} < 0.5 THEN 511 - "row" ELSE "row" END AS "row",
+ CASE WHEN {_sql_unit(7, 'w', 'sample_id')} < 0.5 THEN 511 - col ELSE col END AS col, {R('target')} AS target,
+ {R(f"pred + CASE WHEN {_sql_unit(7, 'n', 'sample_id')} < 0.5 THEN 0.1 * sqrt(-2 * ln(greatest({_sql_unit(7, 'pred1', _WHERE)}, 1e-12))) * cos(2 * pi() * {_sql_unit(7, 'pred2', _WHERE)}) ELSE 0 END")} AS pred FROM predictions""")
 def p25b(spark, d):
     p = fx.predictions(spark, d).select("sample_id", "year", "row", "col", "pred", "target")
-    return scoring.augment(p, "sample_id", 512, 512, 7, ["pred"], noise_p=0.5, noise_std=0.1)
+    return rounded(scoring.augment(p, "sample_id", 512, 512, 7, ["pred"], noise_p=0.5, noise_std=0.1), "pred", "target")
 
 
 @check("P26_lookups", f"""SELECT s_suppkey, {fx.SQL_FIPS.format(k='s_nationkey')} AS fips, CASE s_suppkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 22 END AS crop_code FROM supplier""")

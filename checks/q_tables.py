@@ -169,7 +169,7 @@ def tk3(spark, d):
     return tables.top_k(fx.table(spark, d, "customer").select("c_custkey", "c_name"), [F.asc("c_custkey")], 40)
 
 
-@check("Tk4_seeded_sample")
+@check("Tk4_seeded_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 250")
 def tk4(spark, d):
     return sample_n(fx.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 250, "o_orderkey", 42)
 

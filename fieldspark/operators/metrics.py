@@ -102,12 +102,14 @@ def bootstrap_ci(df: DataFrame, group: str, metric: str = "rmse", n_boot: int =
     """
     spark = df.sparkSession
     per = regression_metrics(df, [group]).select(group, metric)
-    per = materialise(dense_index(per, F.pmod(F.xxhash64(group), F.lit(256)), [group], "_i", start=0)
-                      .select("_i", metric), "bootstrap_groups")
+    # hash buckets keep the numbering spread over many tasks whatever the group names are
+    bucket = F.substring(F.md5(F.col(group).cast("string")), 1, 2)
+    per = materialise(dense_index(per, bucket, [group], "_i", start=0).select("_i", metric), "bootstrap_groups")
     size = per.count()
     draws = spark.range(n_boot * size).select(
         F.expr(f"id div {max(size, 1)}").alias("rep"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(size, 1))).cast("long").alias("_i"))
+        (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10)
+         .cast("long") % max(size, 1)).alias("_i"))
     stat = sized_join(draws, per, ["_i"], written=True).groupBy("rep").agg(F.avg(metric).alias("stat"))
     # n_boot rows from here on
     return stat.agg(F.avg("stat").alias("mean"), F.percentile("stat", F.lit(alpha / 2)).alias("lo"),

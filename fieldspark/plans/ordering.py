@@ -51,5 +51,5 @@ def sample_n(df: DataFrame, n: int | None, key: str, seed: int) -> DataFrame:
     """
     if n is None:
         return df.orderBy(key)
-    drawn = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    drawn = df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
     return drawn.orderBy(key)
