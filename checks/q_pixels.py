@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import spectral
 from fieldspark.operators import composite, disagg, gapfill, mosaic, quality, zonal
-from fieldspark.plans import materialise
-
 from . import fixtures as fx
 from .fixtures import with_
 from .q_sources import SQL_INDICES, _CLEAR
@@ -91,8 +89,7 @@ def a07(spark, d):
  {R('count(CASE WHEN mo >= 1 THEN 1 END) / count(*)')} AS valid_pixel_fraction FROM k GROUP BY 1, 2""")
 def a07b(spark, d):
     keys = ["county_fips", "year", "row", "col"]
-    vi = materialise(_scene_vi(spark, d).select(*keys, "crop_mask", *spectral.INDICES), "scene_vi")
-    px = composite.season_composite(vi, keys, min_obs=1).join(vi.groupBy(*keys).agg(F.bool_or("crop_mask").alias("crop_mask")), keys)
+    px = composite.season_composite(_scene_vi(spark, d), keys, min_obs=1, also=[F.bool_or("crop_mask").alias("crop_mask")])
     out = zonal.county_vi_summary(px, ["county_fips", "year"])
     return rounded(out, *[f"{v}_mean" for v in spectral.INDICES], "min_index_obsCount", "valid_pixel_fraction")
 

@@ -56,14 +56,16 @@ def scene_indices(scenes: DataFrame, reflectance: dict[str, Column], clear: Colu
     return scenes.withColumns(vi)
 
 
-def season_composite(scenes: DataFrame, keys: Sequence[str] = PIXEL, min_obs: int = 3) -> DataFrame:
+def season_composite(scenes: DataFrame, keys: Sequence[str] = PIXEL, min_obs: int = 3,
+                     also: Sequence[Column] = ()) -> DataFrame:
     """Index first, then mean over scenes; each index keeps its own count.
 
-    A pixel is valid when its smallest count reaches ``min_obs``.
+    A pixel is valid when its smallest count reaches ``min_obs``. ``also`` are further
+    aggregates per pixel, such as its crop flag.
     """
     agg = scenes.groupBy(*keys).agg(
         *[F.avg(v).alias(f"{v}_mean") for v in INDICES],
-        *[F.count(v).cast("int").alias(f"{v}_obsCount") for v in INDICES])
+        *[F.count(v).cast("int").alias(f"{v}_obsCount") for v in INDICES], *also)
     low = F.least(*[F.col(f"{v}_obsCount") for v in INDICES])
     return agg.withColumn("min_index_obsCount", low).withColumn("valid_vi_mask", low >= min_obs)
 
