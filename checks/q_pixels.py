@@ -23,6 +23,12 @@ def a03(spark, d):
     return rounded(composite.monthly_composite(fx.scene_pixel(spark, d)), *BANDS)
 
 
+@check("A05b_monthly_composite_median", with_("scene_pixel", obs=_CLEAR_OBS) + f"""SELECT state, year, month, "row", col, CAST(count(*) AS INTEGER) AS OBS_COUNT, {R('median(RED)')} AS RED, {R('median(NIR_NARROW)')} AS NIR_NARROW FROM obs GROUP BY 1, 2, 3, 4, 5""")
+def a05b(spark, d):
+    out = composite.monthly_composite(fx.scene_pixel(spark, d), method="median")
+    return rounded(out.select("state", "year", "month", "row", "col", "OBS_COUNT", "RED", "NIR_NARROW"), "RED", "NIR_NARROW")
+
+
 @check("A03b_composite_for_chips", with_("scene_pixel", obs=_CLEAR_OBS, m="""SELECT state, year, month, CAST(floor("row" / 4) * 4 AS INTEGER) AS row_off, CAST(floor(col / 4) * 4 AS INTEGER) AS col_off,
  avg(RED) AS RED, CAST(count(*) AS INTEGER) AS n FROM obs GROUP BY 1, 2, 3, 4, 5""", chips="""SELECT DISTINCT state, year, month, CAST(floor("row" / 4) * 4 AS INTEGER) AS row_off, CAST(floor(col / 4) * 4 AS INTEGER) AS col_off FROM scene_pixel""",
        bad="""SELECT DISTINCT state, year, month, CAST(floor("row" / 4) * 4 AS INTEGER) AS row_off, CAST(floor(col / 4) * 4 AS INTEGER) AS col_off FROM scene_pixel WHERE scene_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < -500)""") +

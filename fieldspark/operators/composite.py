@@ -24,10 +24,15 @@ def clear_observations(scenes: DataFrame, bands: Sequence[str] = BAND_ORDER, qa:
 
 def monthly_composite(scenes: DataFrame, bands: Sequence[str] = BAND_ORDER,
                       keys: Sequence[str] = (*PIXEL[:2], "month", *PIXEL[2:]), qa: str = "fmask",
-                      **mask_options: bool) -> DataFrame:
-    """Mean of each band over clear scenes with the observation count, per pixel and month."""
-    return clear_observations(scenes, bands, qa, **mask_options).groupBy(*keys).agg(
-        *[F.avg(b).alias(b) for b in bands], F.count(F.lit(1)).cast("int").alias("OBS_COUNT"))
+                      method: str = "mean", **mask_options: bool) -> DataFrame:
+    """Mean (or median) of each band over clear scenes with the observation count."""
+    clear = clear_observations(scenes, bands, qa, **mask_options)
+    count = F.count(F.lit(1)).cast("int").alias("OBS_COUNT")
+    if method == "mean":
+        return clear.groupBy(*keys).agg(*[F.avg(b).alias(b) for b in bands], count)
+    if method == "median":
+        return grouped_percentiles(clear, keys, {b: (b, 0.5) for b in bands}, also=[count])
+    raise ValueError(f"unknown composite method {method!r}")
 
 
 def failed_chips(scene_chips: DataFrame, scene_status: DataFrame, chip_keys: Sequence[str]) -> DataFrame:

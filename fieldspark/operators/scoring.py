@@ -22,23 +22,25 @@ def linear_score(bands: Sequence[Column], weights: Sequence[float], bias: float
     return out
 
 
-def score_chips(chips: DataFrame, values: str, predictor: Predictor, keep: Sequence[str]) -> DataFrame:
+def score_chips(chips: DataFrame, values: str, predictor: Predictor, keep: Sequence[str],
+                rows_per_call: int = 256) -> DataFrame:
     """Score array-valued chips with any batch predictor: (n, k) in, (n, m) or (n,) out.
 
-    Runs per Arrow batch inside tasks; the size of a batch is a session setting.
+    Runs per Arrow batch inside tasks. Chips of many megabytes need a small
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``; the predictor itself sees at most
+    ``rows_per_call`` chips at a time. All chips must have one length (see the integrity scan).
     """
     kept = chips.select(*keep).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["prediction array<double>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack([np.asarray(v, dtype="float64") for v in pdf[values]])
-            y = np.asarray(predictor(x), dtype="float64").reshape(len(pdf), -1)
-            out = pdf[list(keep)].copy()
-            out["prediction"] = list(y)
-            yield out
+            for start in range(0, len(pdf), rows_per_call):
+                part = pdf.iloc[start:start + rows_per_call]
+                x = np.stack([np.asarray(v, dtype="float64") for v in part[values]])
+                out = part[list(keep)].copy()
+                out["prediction"] = list(np.asarray(predictor(x), dtype="float64").reshape(len(part), -1))
+                yield out
     return chips.select(*keep, values).mapInPandas(run, schema)
 
 

@@ -149,7 +149,8 @@ def read_chip_stack(labels: DataFrame, months: DataFrame, crop: DataFrame, keys:
 def read_chip_files(spark: SparkSession, root: str, pixels: int, pattern: str = "*.bin") -> DataFrame:
     """Decode check of stored float32 chips: path, status, share of finite values.
 
-    Each task decodes whole files from Arrow batches; nothing is gathered.
+    Each task decodes whole files from Arrow batches; nothing is gathered. For large chips
+    lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` so a batch fits a Python worker.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
         .option("pathGlobFilter", pattern).load(root).select("path", "content")
