@@ -11,7 +11,7 @@ from fieldspark.plans import materialise
 from . import fixtures as fx
 from .fixtures import with_
 from .q_sources import SQL_ALBERS
-from .registry import R, check, r, rounded
+from .registry import R, check, rounded
 
 _CROSS = "((y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)"
 _PX = """SELECT DISTINCT "row", col, col + 0.5::DOUBLE AS px, "row" + 0.5::DOUBLE AS py FROM pixel"""
@@ -178,7 +178,9 @@ _FRAC = """SELECT state, year, CAST(floor("row" / 64) * 64 AS INTEGER) AS row_of
 
 
 def _label_grids(spark, d):
-    return fx.pixel(spark, d).select("state", "year").distinct().withColumns({
+    """Raster metadata is a small stored table, so it is written once."""
+    years = materialise(fx.pixel(spark, d).select("state", "year").distinct(), "label_grids")
+    return years.withColumns({
         "height": F.lit(500), "width": F.lit(460), "a": F.lit(30.0), "b": F.lit(0.0), "c": F.lit(500000.0), "d": F.lit(0.0),
         "e": F.lit(-30.0), "f": F.lit(2000000.0), "crs": F.lit("EPSG:5070")})
 
@@ -210,14 +212,15 @@ def j09(spark, d):
        """SELECT sample_id, state, year, row_off, col_off FROM m WHERE (state, year, row_off, col_off) IN (SELECT state, year, row_off, col_off FROM f WHERE crop_px >= 11 AND row_off + 64 <= 500 AND col_off + 64 <= 460)
  AND sample_id NOT IN (SELECT sample_id FROM m WHERE row_off = 64 AND year % 2 = 0)""")
 def t04(spark, d):
-    m = manifest.build_manifest(_label_grids(spark, d), "soybeans", "nearest", 64, 64)
+    grids = _label_grids(spark, d)
+    m = manifest.build_manifest(grids, "soybeans", "nearest", 64, 64)
     crop = fx.pixel(spark, d).filter("crop_mask").select("state", "year", "row", "col").distinct()
     inside = spatial.burn(_centres(spark, d), fx.shapes(spark, d), "shape_order", ["row", "col"], 32.0)
     crop = crop.join(inside.select("row", "col"), ["row", "col"], "left_semi")
     label, mask = _two_grids(spark, d)
     on_label = grid.shift_to(crop, grid.grid_offset(mask, label, ["state"]), ["state"]).filter("col >= 0").withColumn("crop_mask", F.lit(True))
     out = m.filter("row_off = 64 and year % 2 = 0").select("sample_id")
-    kept = manifest.filter_manifest(m, on_label, _label_grids(spark, d), 64, 11 / 4096, out)
+    kept = manifest.filter_manifest(m, on_label, grids, 64, 11 / 4096, out)
     return kept.select("sample_id", "state", "year", "row_off", "col_off")
 
 

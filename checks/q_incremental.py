@@ -9,7 +9,7 @@ from fieldspark.sources.sinks import fingerprint
 from fieldspark.streaming import incremental
 
 from . import fixtures as fx
-from .registry import R, check, r, rounded
+from .registry import R, check, rounded
 
 
 def _event_stream(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import targets
 from fieldspark.functions.geo import chip_of
-from fieldspark.operators import folds, grid, metrics, quality, ridge, scoring
+from fieldspark.operators import folds, metrics, quality, ridge, scoring
 from fieldspark.plans import materialise
 
 from . import fixtures as fx

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldspark.functions import codes, dates, geo, nulls, scaling, spectral, targets
-from fieldspark.operators import grid, scoring, tables
+from fieldspark.operators import scoring, tables
 from fieldspark.plans import materialise, shared_path
 from fieldspark.sources import names, readers, sinks
 
@@ -142,9 +142,6 @@ def k01(spark, d):
     return rounded(spark.read.parquet(path), "NDVI_mean").select("state", "year", "row", "col", "NDVI_mean")
 
 
-_VI11 = ", ".join(f"CASE WHEN crop AND mo >= 1 THEN {v} END AS {v}_mean" for v in ("NDVI", "EVI", "GCVI", "NDWI"))
-
-
 @check("K02_write_vi_pixels", with_("vi_pixel") + f"""SELECT state, year, "row", col, ln,
  CASE WHEN crop_mask AND valid_vi_mask THEN {R('NDVI_mean')} END AS NDVI_mean, CASE WHEN crop_mask THEN ln ELSE 0 END AS EVI_obsCount,
  crop_mask, crop_mask AND valid_vi_mask AS valid_vi_mask FROM (SELECT *, CAST(abs(hash_ln) AS INTEGER) AS ln FROM (

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldspark.operators import grid, metrics, tables
-from fieldspark.plans import dense_index, materialise, sample_n
+from fieldspark.operators import grid, tables
+from fieldspark.plans import dense_index, sample_n
 
 from . import fixtures as fx
 from .fixtures import with_

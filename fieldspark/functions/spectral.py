@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, functions as F
 
 # Band order, sensor asset maps, quality bits, index guards.
@@ -116,10 +114,3 @@ def canonical_bands(scene_id: Column, collection: Column, assets: Column,
     return F.when(whole, F.transform_values(wanted, lambda logical, key: F.struct(
         key.alias("asset_key"), F.try_element_at(assets, key).alias("url"),
         file_name_of(F.try_element_at(assets, key), scene_id, logical).alias("filename"))))
-
-
-def all_present(columns: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & c.isNotNull()
-    return out

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import codes
-from ..functions.nulls import ratio
 from ..plans import first_by, sized_join
 
 
@@ -40,6 +39,11 @@ def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return sized_join(df, ids.select(key).distinct(), [key], "left_anti")
 
 
+def exclude_geoids(df: DataFrame, geoids: Sequence[str] = codes.EXCLUDED_GEOIDS, column: str = "geoid") -> DataFrame:
+    """Rows outside the counties kept for external testing."""
+    return df.filter(~codes.clean_fips(F.col(column)).isin(*geoids))
+
+
 def exclusion_report(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Every requested id with the number of rows it removed; 0 means it matched nothing."""
     hits = sized_join(df.select(key), ids.select(key).distinct(), [key], "left_semi") \
@@ -143,7 +147,3 @@ def remaining(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
-
-
-def share(part: Column, whole: Column) -> Column:
-    return ratio(part.cast("double"), whole)

@@ -292,6 +292,11 @@ def test_clamped_chip_never_qualifies(spark):
     assert kept == {(0, 0), (0, 4), (4, 0), (4, 4)} and man.count() == 9
 
 
+def test_counties_kept_for_external_testing_are_dropped(spark):
+    df = spark.createDataFrame([("24033",), ("24031",), ("24033.0",)], "geoid string")
+    assert [r[0] for r in tables.exclude_geoids(df).collect()] == ["24031"]
+
+
 def test_exclusion_and_its_report(spark):
     df = spark.createDataFrame([(c,) for c in "abcd"], "sample_id string")
     ids = spark.createDataFrame([(c,) for c in "bdz"], "sample_id string")
