@@ -215,8 +215,7 @@ def t04(spark, d):
     grids = _label_grids(spark, d)
     m = manifest.build_manifest(grids, "soybeans", "nearest", 64, 64)
     crop = fx.pixel(spark, d).filter("crop_mask").select("state", "year", "row", "col").distinct()
-    inside = spatial.burn(_centres(spark, d), fx.shapes(spark, d), "shape_order", ["row", "col"], 32.0)
-    crop = crop.join(inside.select("row", "col"), ["row", "col"], "left_semi")
+    crop = spatial.clip_to_region(crop, fx.shapes(spark, d), 32.0, F.col("col") + 0.5, F.col("row") + 0.5)
     label, mask = _two_grids(spark, d)
     on_label = grid.shift_to(crop, grid.grid_offset(mask, label, ["state"]), ["state"]).filter("col >= 0").withColumn("crop_mask", F.lit(True))
     out = m.filter("row_off = 64 and year % 2 = 0").select("sample_id")
