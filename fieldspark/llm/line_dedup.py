@@ -127,7 +127,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
                 return let(d0, vectors)
             return let(match, step)
 
-        first = F.struct(F.lit(0).alias("j"), F.lit(full ^ ((1 << (threshold + 1)) - 1)).alias("vp"),
+        first = F.struct(F.lit(0).alias("j"), F.lit(full ^ ((1 << threshold) - 1)).alias("vp"),
                          F.lit(0).alias("vn"), F.abs(diagonal).alias("e"))
         return F.aggregate(t, first, column, lambda s: s["e"] <= threshold)
 
