@@ -149,8 +149,10 @@ def distinct_lines(df: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     """One row per distinct line: h1, h2, first_doc and its entries k*/s* (index) and p*/q* (probe)."""
     lines = _lines(df, min_chars)
     index, probes = entries(F.col("line"), F.length("line"), threshold)
-    named = {f"{a}{n}": c for (a, b), found in ((("k", "s"), index), (("p", "q"), probes))
-             for n, pair in enumerate(found) for a, c in ((a, pair[0]), (b, pair[1]))}
+    named = {}
+    for (key, side), found in ((("k", "s"), index), (("p", "q"), probes)):
+        for n, (hashed, beside) in enumerate(found):
+            named |= {f"{key}{n}": hashed, f"{side}{n}": beside}
     # every entry is a function of the line, so any of a group will do; all buffers are numbers
     return lines.select("h1", "h2", "doc_id", *[c.alias(n) for n, c in named.items()]) \
         .groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), *[F.max(n).alias(n) for n in named])

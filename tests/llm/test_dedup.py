@@ -144,6 +144,16 @@ def distance(a, b):
     return row[-1]
 
 
+def close(a, b, threshold):
+    if abs(len(a) - len(b)) > threshold:
+        return False
+    if threshold > 1:
+        return distance(a, b) <= threshold
+    a, b = sorted((a, b), key=len)
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[k + (len(a) == len(b)):] == b[k + 1:]
+
+
 def edited(r, s, n):
     for _ in range(n):
         k = r.randrange(len(s) + 1)
@@ -181,7 +191,11 @@ def brute_lines(docs, threshold, least=20):
             if len(s) >= least:
                 first[s] = min(first.get(s, 1 << 64), key(d))
     h = {s: (x := xxhash.xxh64_intdigest(s.encode(), seed=42)) - (x >> 63 << 64) for s in first}
-    near = {s for s in first for q in first if q != s and (first[q], h[q]) < (first[s], h[s]) and distance(q, s) <= threshold}
+    by_length = {}
+    for s in first:
+        by_length.setdefault(len(s), []).append(s)
+    near = {s for s in first for k in range(-threshold, threshold + 1) for q in by_length.get(len(s) + k, ())
+            if q != s and (first[q], h[q]) < (first[s], h[s]) and close(q, s, threshold)}
     out = []
     for d, t in docs:
         lines, seen, gone = (t or "").split("\n"), set(), []
