@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import spectral
+from ..functions.nulls import is_observed
 from ..functions.spectral import BAND_ORDER, INDICES
 from ..plans import grouped_percentiles, sized_join
 
@@ -15,10 +16,10 @@ PIXEL = ("state", "year", "row", "col")
 
 def clear_observations(scenes: DataFrame, bands: Sequence[str] = BAND_ORDER, qa: str = "fmask",
                        **mask_options: bool) -> DataFrame:
-    """Scene pixels that count: clear, and every band present. Fill becomes NULL first."""
+    """Scene pixels that count: clear, and every band finite and above the fill value."""
     ok = spectral.clear_mask(F.col(qa), **mask_options)
     for b in bands:
-        ok = ok & (F.col(b) > spectral.FILL_THRESHOLD)
+        ok = ok & is_observed(F.col(b)) & (F.col(b) > spectral.FILL_THRESHOLD)
     return scenes.filter(ok)
 
 
@@ -31,7 +32,7 @@ def monthly_composite(scenes: DataFrame, bands: Sequence[str] = BAND_ORDER,
     if method == "mean":
         return clear.groupBy(*keys).agg(*[F.avg(b).alias(b) for b in bands], count)
     if method == "median":
-        return grouped_percentiles(clear, keys, {b: (b, 0.5) for b in bands}, also=[count])
+        return grouped_percentiles(clear, keys, {b: (b, 0.5) for b in bands}, also=[count], bounded=True)
     raise ValueError(f"unknown composite method {method!r}")
 
 
@@ -76,8 +77,8 @@ def season_composite(scenes: DataFrame, keys: Sequence[str] = PIXEL, min_obs: in
 
 
 def median_composite(scenes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Per-pixel median over scenes; exact for groups of any size."""
-    return grouped_percentiles(scenes, keys, {c: (c, 0.5) for c in columns})
+    """Exact per-pixel median over scenes; a pixel has at most one row per scene."""
+    return grouped_percentiles(scenes, keys, {c: (c, 0.5) for c in columns}, bounded=True)
 
 
 def season_range(monthly: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 from .shared import materialise, shared_dir, shared_path
-from .joins import BROADCAST_BYTES, bounded_bytes, salted_join, sized_join
+from .joins import estimated_bytes, reduced, sized_join
 from .ordering import dense_index, first_by, last_by, sample_n
 from .quantiles import grouped_percentiles
 
 __all__ = [
-    "BROADCAST_BYTES", "bounded_bytes", "dense_index", "first_by", "grouped_percentiles", "last_by",
-    "materialise", "salted_join", "sample_n", "shared_dir", "shared_path", "sized_join",
+    "dense_index", "estimated_bytes", "first_by", "grouped_percentiles", "last_by",
+    "materialise", "reduced", "sample_n", "shared_dir", "shared_path", "sized_join",
 ]

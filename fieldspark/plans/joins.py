@@ -1,60 +1,37 @@
 """Joins between a large fact table and a reduced side.
 
-The reduced side is broadcast only when its size is known to be small: either
-Catalyst bounds it from file sizes, or it is written out once and its files are
-measured. Beyond the bound the fact side is salted, so one hot key is spread
-over many tasks instead of landing in one.
+Which strategy runs is the engine's decision: it broadcasts below
+``spark.sql.autoBroadcastJoinThreshold`` and splits skewed partitions at run time
+(``spark.sql.adaptive.skewJoin``). All a caller can add is an honest size. Catalyst
+multiplies the sizes of joins and guesses those of aggregates, so a reduced side whose
+estimate is too large to broadcast is written once and read back with its true one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .shared import materialise
 
-#: Size under which a reduced table may be broadcast.
-BROADCAST_BYTES = 32 << 20
-#: Number of slices a hot key is spread over when broadcasting is ruled out.
-SALTS = 32
-# nodes that can emit more than they read, so that input size bounds nothing
-_GROWING = ("Generate", "Expand", "MapIn", "FlatMap", "Union")
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size of ``df``; file sizes where it is a plain scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-def bounded_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size of ``df`` where it is an upper bound from file sizes, else None."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if any(node in plan.toString() for node in _GROWING):
-        return None
-    return int(str(plan.stats().sizeInBytes()))
 
-
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
-    """Equi join that spreads each key of ``big`` over ``salts`` shuffle keys.
-
-    ``small`` is repeated once per salt, so ``how`` must keep rows of ``big`` only
-    (inner, left, left_semi, left_anti).
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot do a {how} join")
-    others = [c for c in big.columns if c not in on] or on
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in others]), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+def reduced(small: DataFrame) -> DataFrame:
+    """``small``, written once where Catalyst's estimate alone would rule out a broadcast."""
+    spark = small.sparkSession
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = -1 if text.startswith("-") else int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
+    return small if estimated_bytes(small) <= limit else materialise(small, "reduced")
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_bytes: int = BROADCAST_BYTES, written: bool = False) -> DataFrame:
-    """Join a fact table with a reduced table, broadcasting only below a known size.
+               written: bool = False) -> DataFrame:
+    """Equi join of a fact table with a reduced table.
 
     Pass ``written=True`` when ``small`` already is a stored table, so that no second
     copy is made.
     """
-    size = bounded_bytes(small)
-    if not written and (size is None or size > max_bytes):
-        small = materialise(small, "reduced")
-        size = bounded_bytes(small)
-    if size is not None and size <= max_bytes:
-        return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, how)
+    return big.join(small if written else reduced(small), on, how)

@@ -1,9 +1,9 @@
 """Exact, linearly interpolated percentiles per group.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. That
-is right for groups of checked size. Beyond it, values are routed to ranges cut
-by an approximate sketch, ranges are counted, and only the ranges that hold a
-wanted position are ranked; the result is still exact.
+is right for groups of checked size. The rows of larger groups, and only theirs, are
+routed to ranges cut by an approximate sketch, ranges are counted, and only the ranges
+that hold a wanted position are ranked; the result is exact either way.
 """
 
 from __future__ import annotations
@@ -12,48 +12,51 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import bounded_bytes, sized_join
+from .joins import sized_join
 from .shared import materialise
 
 #: Groups up to this many rows use the built-in aggregate.
 GROUP_LIMIT = 2_000_000
-#: Inputs bounded by this size fit one task whole, so no group needs counting.
-INPUT_LIMIT = 64 << 20
 _COARSE = 32
 _FINE = 32
 
 
 def grouped_percentiles(df: DataFrame, keys: Sequence[str],
                         wanted: Mapping[str, tuple[str, float]],
-                        also: Sequence[Column] = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
+                        also: Sequence[Column] = (), group_limit: int = GROUP_LIMIT,
+                        bounded: bool = False) -> DataFrame:
     """One row per group with ``wanted[out] = (value column, fraction)``.
 
     NULL values are ignored; a group without values has NULL percentiles. ``also`` are
-    further aggregates of ``df``, computed in the same pass where possible.
+    further aggregates of ``df``, computed in the same pass where possible. ``bounded``
+    says that groups are small by construction, such as one row per scene and pixel, so
+    that none has to be counted.
     """
     keys, also = list(keys), list(also)
+    plain = [F.percentile(F.col(c), F.lit(p)).alias(out) for out, (c, p) in wanted.items()]
+    if bounded:
+        return df.groupBy(*keys).agg(*also, *plain)
     values = sorted({c for c, _ in wanted.values()})
     slim = df.select(*keys, *values)
-    if _groups_fit(slim, keys, group_limit):
-        return df.groupBy(*keys).agg(
-            *also, *[F.percentile(F.col(c), F.lit(p)).alias(out) for out, (c, p) in wanted.items()])
-    ranked = _by_ranges(slim, keys, values, wanted)
-    if not also:
-        return ranked
-    rest = df.groupBy(*keys).agg(*also)
-    if keys:
-        return rest.join(ranked, keys)
-    row = ranked.first()
-    return rest.withColumns({out: F.lit(row[out]).cast("double") for out in wanted})
-
-
-def _groups_fit(slim: DataFrame, keys: list[str], group_limit: int) -> bool:
-    """True when no group can be too large for one task."""
-    size = bounded_bytes(slim)
-    if group_limit >= GROUP_LIMIT and size is not None and size <= INPUT_LIMIT:
-        return True
-    largest = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return (largest["n"] or 0) <= group_limit
+    # counts are reduced map-side: one row per group and task moves
+    large = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > group_limit)
+    large = materialise(large.withColumn("_group", F.monotonically_increasing_id()).drop("_rows"), "large_groups")
+    if large.isEmpty():
+        return df.groupBy(*keys).agg(*also, *plain)
+    if not keys:
+        found = _by_ranges(slim, keys, values, wanted).first()
+        return df.agg(F.count(F.lit(1)).alias("_n"), *also) \
+            .withColumns({out: F.lit(found[out]).cast("double") for out in wanted}).drop("_n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_s.{k}").eqNullSafe(F.col(f"_l.{k}"))
+    small = df.alias("_s").join(large.alias("_l"), same, "left_anti").groupBy(*keys).agg(*also, *plain)
+    # large groups go by number from here, so that a NULL key is a key like any other
+    hot = df.alias("_s").join(large.alias("_l"), same).select("_group", *[F.col(f"_s.{c}").alias(c) for c in df.columns])
+    ranked = large.join(_by_ranges(hot.select("_group", *values), ["_group"], values, wanted), "_group")
+    if also:
+        ranked = ranked.join(hot.groupBy("_group").agg(*also), "_group")
+    return small.unionByName(ranked.drop("_group"))
 
 
 def _by_ranges(slim: DataFrame, keys: list[str], values: list[str],

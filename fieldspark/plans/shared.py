@@ -7,6 +7,7 @@ and read back. The read-back scan also carries true file sizes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder.
+
+    Where none is set, a local master gets a fresh local folder; on a cluster executors do
+    not share local folders, so there it is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(local)
     return local

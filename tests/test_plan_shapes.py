@@ -65,3 +65,10 @@ def test_no_query_uses_a_cross_product(spark):
     for name in ("J03_point_in_polygon_burn", "J04_scene_chips", "J05_bbox_overlaps", "T05_split_by_county", "A17_leave_one_year_out", "L05_fold_statistics"):
         text = plan(CHECKS[name].run(spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_region_clip_lists_no_positions(spark, pixels):
+    from checks import fixtures as fx
+    text = plan(spatial.clip_to_region(pixels, fx.shapes(spark, SF), 32.0, F.col("col") + 0.5, F.col("row") + 0.5))
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+    assert "HashAggregate" not in text and "hashpartitioning" not in text and "NestedLoop" not in text

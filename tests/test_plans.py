@@ -1,9 +1,10 @@
 """Skew-proof plan helpers agree with the plain plans they replace."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.plans import dense_index, first_by, grouped_percentiles, last_by, salted_join, sample_n, sized_join
+from fieldspark.plans import dense_index, first_by, grouped_percentiles, last_by, sample_n, sized_join
 
 
 def skewed(spark, n=6000):
@@ -16,20 +17,41 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_salted_join_equals_plain_join(spark):
-    big = skewed(spark)
-    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+def test_sized_join_takes_maps_and_key_only_tables(spark):
+    """The same rows whether the small side is broadcast or shuffled."""
+    big = skewed(spark).withColumn("m", F.create_map(F.lit("a"), F.col("id")))
+    small = spark.range(40).select((F.col("id") % 20).alias("k"), (F.col("id") % 20 * 2).alias("x")).distinct()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        assert rows(salted_join(big, small, ["k"], how).select("id")) == rows(big.join(small, "k", how).select("id"))
-
-
-def test_sized_join_has_another_way_beyond_the_bound(spark):
-    big = skewed(spark)
-    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
-    near, far = sized_join(big, small, ["k"]), sized_join(big, small, ["k"], max_bytes=3)
-    assert rows(near.select("id", "x")) == rows(far.select("id", "x"))
-    assert "BroadcastHashJoin" in near._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in far._jdf.queryExecution().optimizedPlan().toString()
+        near = rows(sized_join(big, small, ["k"], how).select("id"))
+        keys = rows(sized_join(big.select("k"), small, ["k"], how).select("k"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            far = sized_join(big, small, ["k"], how)
+            assert "BroadcastHashJoin" not in far._jdf.queryExecution().executedPlan().toString()
+            assert rows(far.select("id")) == near == rows(big.join(small, "k", how).select("id"))
+            assert rows(sized_join(big.select("k"), small, ["k"], how).select("k")) == keys
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_only_large_groups_are_cut_into_ranges(spark):
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 10000).cast("long").alias("k"), (F.sin("id") * 9).alias("v"))
+    got = grouped_percentiles(df, ["k"], {"m": ("v", .3)}, also=[F.count(F.lit(1)).alias("n")], group_limit=100)
+    want = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.lit(.3)).alias("m"))
+    both = got.toPandas().sort_values("k").reset_index(drop=True), want.toPandas().sort_values("k").reset_index(drop=True)
+    assert np.allclose(both[0].fillna(-1), both[1].fillna(-1)[both[0].columns])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from fieldspark.plans import shared_dir
+    conf = SimpleNamespace(get=lambda key, default: default)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)
 
 
 def test_percentiles_by_ranges_are_exact(spark):
