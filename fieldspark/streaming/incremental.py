@@ -1,18 +1,19 @@
 """Incremental jobs: scene intake, monthly composites, work ledgers, running statistics.
 
-State lives in Spark's own state store or in written partial sums; every sink is
-idempotent per micro-batch, so a retried batch leaves the same table.
+State lives in a checkpoint beside the target table or in written partial sums, so a job
+goes on where the last call ended. Every sink is idempotent per micro-batch: a retried batch
+leaves the same table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.scaling import band_std
-from ..plans import materialise, shared_path
 
 
 def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
@@ -22,36 +23,61 @@ def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern:
         .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def intake_scenes(stream: DataFrame, ts: str = "ts", key: str = "id", delay: str = "45 days") -> DataFrame:
-    """Drop scenes seen again within the watermark; later repeats are dropped as late."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def _run(stream: DataFrame, path: str, checkpoint: str | None, write: Callable[[DataFrame, str], None],
+         mode: str = "append") -> None:
+    """Process what is available; ``write`` gets each micro-batch and the folder that is its own.
 
+    The checkpoint lives beside the target unless given, so the next call goes on where this one
+    ended. Folders carry the query's own id, so a query with a new checkpoint never replaces the
+    output of an older one, while a retried batch replaces itself.
+    """
+    spark, state = stream.sparkSession, checkpoint or f"{path.rstrip('/')}-checkpoint"
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Process what is available into a Parquet table and return it."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").outputMode(mode) \
-        .option("path", path).option("checkpointLocation", shared_path(spark, "stream-state")) \
-        .trigger(availableNow=True).start()
+    def step(batch: DataFrame, batch_id: int) -> None:
+        meta = batch.sparkSession.read.schema("id string").json(f"{state}/metadata")
+        write(batch, f"run={meta.first()['id']}/batch={batch_id}")
+    query = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
 
 
-def update_composite(stream: DataFrame, keys: Sequence[str], bands: Sequence[str], path: str) -> None:
-    """Add a stream of clear observations to a table of partial sums.
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows under ``path`` with their run and batch; none where nothing was written yet."""
+    full = StructType([*schema.fields, StructField("run", StringType()), StructField("batch", LongType())])
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
 
-    Each micro-batch reduces to (sum, n) per key and replaces its own ``batch`` folder, so a
-    reopened month is just another partial and a retry does not count twice.
+def intake_scenes(stream: DataFrame, path: str, key: str = "id", checkpoint: str | None = None) -> DataFrame:
+    """Add scenes not stored before to a table and return it.
+
+    A scene is known by its id, however old: each micro-batch keeps one row per id and leaves
+    out ids that other batches have stored.
     """
-    spark = stream.sparkSession
+    def write(batch: DataFrame, folder: str) -> None:
+        run, number = (x.split("=")[1] for x in folder.split("/"))
+        known = _stored(batch.sparkSession, path, stream.schema).filter(
+            (F.col("run") != run) | (F.col("batch") != int(number))).select(key)
+        batch.dropDuplicates([key]).join(known, key, "left_anti").select(*stream.columns) \
+            .write.mode("overwrite").parquet(f"{path}/{folder}")
+    _run(stream, path, checkpoint, write)
+    return _stored(stream.sparkSession, path, stream.schema).drop("run", "batch")
+
+
+def update_composite(stream: DataFrame, keys: Sequence[str], bands: Sequence[str], path: str,
+                     checkpoint: str | None = None) -> None:
+    """Add a stream of clear observations to a table of partial sums.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    Each micro-batch reduces to (sum, n) per key in a folder of its own, so a reopened month
+    is just another partial, a retry does not count twice and a later call adds new files only.
+    """
+    def write(batch: DataFrame, folder: str) -> None:
         batch.groupBy(*keys).agg(*[F.sum(b).alias(f"{b}_sum") for b in bands], F.count(F.lit(1)).alias("n")) \
-            .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    query = stream.writeStream.foreachBatch(write) \
-        .option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
+            .write.mode("overwrite").parquet(f"{path}/{folder}")
+    _run(stream, path, checkpoint, write)
 
 
 def read_composite(spark: SparkSession, path: str, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
@@ -73,23 +99,17 @@ def remaining_work(planned: DataFrame, ledger: DataFrame, keys: list[str], setti
     return planned.join(ledger.select(*keys).distinct(), keys, "left_anti")
 
 
-def running_band_statistics(stream: DataFrame, keys: Sequence[str], value: str, path: str) -> DataFrame:
-    """Count, mean and population spread per band, kept current over a stream.
+def running_band_statistics(stream: DataFrame, keys: Sequence[str], value: str, path: str,
+                            checkpoint: str | None = None) -> DataFrame:
+    """Count, mean and population spread per band, kept current over a stream and over calls.
 
-    The state is one row per band; each trigger writes the complete result to its own folder.
+    The state is one row per band, stored in the checkpoint; each trigger writes the complete
+    result to its own folder and the latest one is returned.
     """
-    spark = stream.sparkSession
     stats = stream.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
                                       band_std(F.stddev_pop(value)).alias("std"))
-    last: list[int] = []
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        last.append(batch_id)
-
-    query = stats.writeStream.outputMode("complete").foreachBatch(write) \
-        .option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not last:
-        return materialise(spark.createDataFrame([], stats.schema), "band_statistics")
-    return spark.read.schema(stats.schema).parquet(f"{path}/version={max(last)}")
+    _run(stats, path, checkpoint, lambda batch, folder: batch.write.mode("overwrite").parquet(f"{path}/{folder}"),
+         mode="complete")
+    stored = _stored(stream.sparkSession, path, stats.schema)
+    last = stored.agg(F.max("batch").alias("b")).first()["b"]
+    return stored.filter(F.col("batch") == (-1 if last is None else last)).drop("run", "batch")
