@@ -17,7 +17,9 @@ from .registry import R, check, r, rounded
 # --- ridge ---------------------------------------------------------------------------------------
 
 F2 = ["NDVI_mean", "EVI_mean"]
-_TRAIN = """SELECT v.county_fips, v.year, v.NDVI_mean AS x1, v.EVI_mean AS x2, y.yield_bu_ac AS y FROM county_vi v JOIN county_yield y ON y.county_fips = v.county_fips AND y.year = v.year"""
+_ROWS = """FROM county_vi v JOIN county_yield y ON y.county_fips = v.county_fips AND y.year = v.year
+ WHERE CAST(v.county_fips AS INTEGER) * 3 % 7 <> v.year % 7 AND CAST(v.county_fips AS INTEGER) % 5 <> v.year % 5"""
+_TRAIN = f"SELECT v.county_fips, v.year, v.NDVI_mean AS x1, v.EVI_mean AS x2, y.yield_bu_ac AS y {_ROWS}"
 _STAT = """count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2"""
 _SOLVE = """SELECT *, (n * c1 / s1 * (n + 1) - n * c12 / (s1 * s2) * (n * c2 / s2)) / ((n + 1) * (n + 1) - (n * c12 / (s1 * s2)) ** 2) AS w1,
  (n * c2 / s2 * (n + 1) - n * c12 / (s1 * s2) * (n * c1 / s1)) / ((n + 1) * (n + 1) - (n * c12 / (s1 * s2)) ** 2) AS w2 FROM st"""
@@ -27,8 +29,12 @@ _PRED = "my + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2"
 
 
 def _training(spark, d):
+    """County-years with gaps: some yields are NULL and some indices NaN; only complete rows may count."""
     t = fx.county_vi(spark, d).drop("state").join(fx.county_yield(spark, d), ["county_fips", "year"])
-    return materialise(t, "training")
+    county, year = F.col("county_fips").cast("int"), F.col("year")
+    return materialise(t.withColumns({
+        "yield_bu_ac": F.when(county * 3 % 7 != year % 7, F.col("yield_bu_ac")),
+        "NDVI_mean": F.when(county % 5 == year % 5, F.lit(float("nan"))).otherwise(F.col("NDVI_mean"))}), "training")
 
 
 @check("A14_ridge_fit", _WITH_FIT + f"""SELECT feature, {R('w')} AS ridge_coef_standardized, {R('m')} AS x_mean, {R('s')} AS x_std, {R('my')} AS ridge_intercept, CAST(n AS DOUBLE) AS n_rows FROM ({_COEF})""")
@@ -36,22 +42,41 @@ def a14(spark, d):
     return rounded(ridge.fit(_training(spark, d), F2, "yield_bu_ac"), "ridge_coef_standardized", "x_mean", "x_std", "ridge_intercept")
 
 
-@check("A14b_ridge_fit_four_features")
+F4 = ["NDVI_mean", "EVI_mean", "GCVI_mean", "NDWI_mean"]
+
+
+def _sql_four() -> str:
+    """Four elimination steps on the standardised normal equations, one CTE each."""
+    n4 = range(1, 5)
+    st = "SELECT count(*) AS n, avg(y) AS my, " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in n4) + ", " + ", ".join(
+        f"count(*) * covar_pop(x{i}, x{j}) / (stddev_pop(x{i}) * stddev_pop(x{j}))" + (" + 1" if i == j else "") + f" AS a{i}{j}" for i in n4 for j in n4) + ", " + ", ".join(
+        f"count(*) * covar_pop(x{i}, y) / stddev_pop(x{i}) AS a{i}5" for i in n4) + " FROM tr4"
+    steps = {"e0": st}
+    for k in n4:
+        cells = [f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k} AS a{i}{j}" if i != k else f"a{k}{j} / a{k}{k} AS a{k}{j}" for i in n4 for j in range(1, 6)]
+        steps[f"e{k}"] = "SELECT n, my, " + ", ".join(f"m{i}, s{i}" for i in n4) + ", " + ", ".join(cells) + f" FROM e{k - 1}"
+    train = "SELECT " + ", ".join(f"v.{f} AS x{i}" for i, f in enumerate(F4, 1)) + f", y.yield_bu_ac AS y {_ROWS}"
+    return with_("county_vi", "county_yield", tr4=train, **steps) + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {R(f'a{i}5')} AS ridge_coef_standardized, {R(f'm{i}')} AS x_mean, {R(f's{i}')} AS x_std, {R('my')} AS ridge_intercept, CAST(n AS DOUBLE) AS n_rows FROM e4"
+        for i, f in enumerate(F4, 1))
+
+
+@check("A14b_ridge_fit_four_features", _sql_four())
 def a14b(spark, d):
-    return ridge.fit(_training(spark, d), ["NDVI_mean", "EVI_mean", "GCVI_mean", "NDWI_mean"], "yield_bu_ac")
+    return rounded(ridge.fit(_training(spark, d), F4, "yield_bu_ac"), "ridge_coef_standardized", "x_mean", "x_std", "ridge_intercept")
 
 
 @check("A15_ridge_predictions", _WITH_FIT + f"SELECT county_fips, year, {R(_PRED)} AS predicted, {R(f'y - ({_PRED})')} AS residual FROM tr, fit")
 def a15(spark, d):
     t = _training(spark, d)
-    out = ridge.predict(t, ridge.fit(t, F2, "yield_bu_ac"), F2, "yield_bu_ac")
+    out = ridge.predict(ridge.complete_rows(t, [*F2, "yield_bu_ac"]), ridge.fit(t, F2, "yield_bu_ac"), F2, "yield_bu_ac")
     return rounded(out.select("county_fips", "year", "predicted", "residual"), "predicted", "residual")
 
 
 @check("A16_fit_quality", _WITH_FIT + f"""SELECT count(*) AS n, {R('avg(abs(y - p))')} AS mae, {R('1 - avg((y - p) ** 2) / var_pop(y)')} AS r2, {R('covar_pop(y, p) / (stddev_pop(y) * stddev_pop(p))')} AS corr FROM (SELECT y, {_PRED} AS p FROM tr, fit)""")
 def a16(spark, d):
     t = _training(spark, d)
-    out = ridge.predict(t, ridge.fit(t, F2, "yield_bu_ac"), F2, "yield_bu_ac")
+    out = ridge.predict(ridge.complete_rows(t, [*F2, "yield_bu_ac"]), ridge.fit(t, F2, "yield_bu_ac"), F2, "yield_bu_ac")
     return rounded(ridge.fit_quality(out, "yield_bu_ac"), "mae", "r2", "corr")
 
 
@@ -113,6 +138,17 @@ def a21(spark, d):
     return rounded(out.withColumn("year", F.col("year").cast("string")), *_FLOATS)
 
 
+@check("A21b_multi_level_flat_target", with_("predictions") + " UNION ALL ".join(
+    f"SELECT '{lv}' AS level, " + ", ".join((f"CAST({c} AS VARCHAR)" if c in cols else "NULL::VARCHAR") + f" AS {c}" for c in ("county_fips", "sample_id", "state", "year")) +
+    ", count(*) AS n, NULL::DOUBLE AS r2, NULL::DOUBLE AS pearson_r FROM predictions WHERE pred IS NOT NULL AND target IS NOT NULL" + (f" GROUP BY {', '.join(cols)}" if cols else "")
+    for lv, cols in LEVELS.items()))
+def a21b(spark, d):
+    """A target without spread, far from zero: r2 and r are undefined at every level."""
+    flat = fx.predictions(spark, d).withColumn("target", F.when(F.col("target").isNotNull(), F.lit(1234567.1)))
+    out = metrics.multi_level(flat, LEVELS)
+    return out.select("level", "county_fips", "sample_id", "state", F.col("year").cast("string").alias("year"), "n", "r2", "pearson_r")
+
+
 @check("A22_macro_average", with_("predictions", g="SELECT county_fips, avg(abs(pred - target)) AS mae, sqrt(avg((pred - target) ** 2)) AS rmse, 1 - avg((pred - target) ** 2) / var_pop(target) AS r2, covar_pop(pred, target) / (stddev_pop(pred) * stddev_pop(target)) AS r FROM predictions GROUP BY 1") +
        f"SELECT {R('avg(mae)')} AS macro_mae, {R('avg(rmse)')} AS macro_rmse, {R('avg(r2)')} AS macro_r2, {R('avg(r)')} AS macro_pearson_r FROM g")
 def a22(spark, d):

@@ -27,13 +27,21 @@ def s01(spark, d):
 
 
 @check("S02_read_county_yield", with_("survey", c=_CLEAN) +
-       f"SELECT state, geoid, year, county_name, {R('bu')} AS yield_bu_ac FROM c WHERE bu IS NOT NULL")
+       f"SELECT state, geoid, year, county_name, {R('min(bu)')} AS yield_bu_ac FROM c WHERE bu IS NOT NULL GROUP BY 1, 2, 3, 4")
 def s02(spark, d):
     path = shared_path(spark, "yield")
-    fx.survey(spark, d).select(
+    t = fx.survey(spark, d).select(
         F.col("state_alpha").alias("state"), F.concat("state_fips_code", F.lpad("county_code", 3, "0"), F.lit(".0")).alias("GEOID"),
-        "year", "county_name", F.regexp_replace("Value", ",", "").alias("yield_bu_ac")).write.option("header", True).csv(path)
-    return rounded(readers.read_county_yield(spark, path), "yield_bu_ac")
+        "year", "county_name", F.regexp_replace("Value", ",", "").alias("yield_bu_ac"))
+    # smallest yield first, so that the first row of a county-year is known; two column orders; and in the later file a second row of every county-year, which must not count
+    even = F.col("year").cast("int") % 2 == 0
+    t = t.coalesce(1).sortWithinPartitions("GEOID", "year", F.col("yield_bu_ac").try_cast("double"))
+    t.filter(even).write.option("header", True).csv(f"{path}/a")
+    t.filter(~even).select("yield_bu_ac", "county_name", "GEOID", "state", "year").write.option("header", True).csv(f"{path}/b")
+    t.filter(F.col("yield_bu_ac").try_cast("double").isNotNull()).withColumn("yield_bu_ac", F.lit("1")) \
+        .select("year", "GEOID", "yield_bu_ac").coalesce(1).write.option("header", True).csv(f"{path}/c")
+    out = readers.read_county_yield(spark, path).select("state", "geoid", "year", "county_name", "yield_bu_ac")
+    return rounded(out, "yield_bu_ac")
 
 
 @check("S03_read_vi_summaries", with_("county_vi") +
@@ -138,7 +146,11 @@ def s09(spark, d):
 @check("K01_write_pixels", with_("vi_pixel") + f"""SELECT state, year, "row", col, {R('coalesce(NDVI_mean, -9999)')} AS NDVI_mean FROM vi_pixel""")
 def k01(spark, d):
     path = shared_path(spark, "pixels")
-    sinks.write_pixels(fx.vi_pixel(spark, d).select("state", "year", "row", "col", "NDVI_mean"), path, ["NDVI_mean"], -9999.0)
+    p = fx.vi_pixel(spark, d).select("state", "year", "row", "col", "NDVI_mean")
+    even = F.crc32(F.col("state").cast("binary")) % 2 == 0
+    # two sets of states in two calls, one of them again: neither write may touch the other's partitions
+    for part in (p.filter(even).withColumn("NDVI_mean", F.lit(0.5)), p.filter(~even), p.filter(even)):
+        sinks.write_pixels(part, path, ["NDVI_mean"], -9999.0)
     return rounded(spark.read.parquet(path), "NDVI_mean").select("state", "year", "row", "col", "NDVI_mean")
 
 
@@ -152,31 +164,33 @@ def k02(spark, d):
         p = p.withColumn(f"{v}_obsCount", F.col("ln"))
     p = p.withColumn("min_index_obsCount", F.col("ln"))
     path = shared_path(spark, "vi_pixels")
-    sinks.write_vi_pixels(p, path, ["state", "year", "row", "col", "ln"])
+    even = F.crc32(F.col("state").cast("binary")) % 2 == 0
+    for part in (p.filter(even).withColumn("crop_mask", F.lit(False)), p.filter(~even), p.filter(even)):
+        sinks.write_vi_pixels(part, path, ["state", "year", "row", "col", "ln"])
     return rounded(spark.read.parquet(path), "NDVI_mean").select(
         "state", "year", "row", "col", "ln", "NDVI_mean", "EVI_obsCount", "crop_mask", "valid_vi_mask")
 
 
-@check("K03_write_summary", with_("county_yield") + "SELECT year, 'county' AS unit, CAST(3 * count(*) AS BIGINT) AS n_over_formats FROM county_yield GROUP BY 1")
+@check("K03_write_summary", with_("county_yield") + f"SELECT year, 'county' AS unit, fmt, count(*) AS n, {R('avg(yield_bu_ac)')} AS mean FROM county_yield, (VALUES ('csv'), ('parquet'), ('json')) AS f(fmt) GROUP BY 1, 3")
 def k03(spark, d):
     path = shared_path(spark, "summary")
     out = fx.county_yield(spark, d).groupBy("year").agg(F.avg("yield_bu_ac").alias("mean"), F.count(F.lit(1)).alias("n"))
     for fmt in ("csv", "parquet", "json"):
         sinks.write_summary(out, f"{path}/{fmt}", fmt, unit="county")
-    back = spark.read.parquet(f"{path}/parquet").select("year", "n", "unit")
-    for other in (spark.read.schema("year int, mean double, n bigint, unit string").option("header", True).csv(f"{path}/csv"),
-                  spark.read.schema("year int, mean double, n bigint, unit string").json(f"{path}/json")):
-        back = back.unionByName(other.select("year", "n", "unit"))
-    return back.groupBy("year", "unit").agg(F.sum("n").alias("n_over_formats"))
+    read = spark.read.schema("year int, mean double, n bigint, unit string")
+    back = spark.read.parquet(f"{path}/parquet").withColumn("fmt", F.lit("parquet"))
+    for fmt, other in (("csv", read.option("header", True).csv(f"{path}/csv")), ("json", read.json(f"{path}/json"))):
+        back = back.unionByName(other.withColumn("fmt", F.lit(fmt)))
+    return rounded(back, "mean")
 
 
-@check("K04_append_log", with_("grids") + "SELECT CASE WHEN crs = 'EPSG:5070' THEN 'run-1' ELSE 'run-2' END AS run_id, crs = 'EPSG:5070' AS ok, count(*) AS n FROM grids GROUP BY 1, 2")
+@check("K04_append_log", with_("grids") + "SELECT CASE WHEN crs = 'EPSG:5070' THEN 'run-1' ELSE 'run-2' END AS run_id, crs = 'EPSG:5070' AS ok, raster_id AS unit FROM grids")
 def k04(spark, d):
     path = shared_path(spark, "log")
     units = fx.grids(spark, d).select(F.col("raster_id").alias("unit"), (F.col("crs") == "EPSG:5070").alias("ok"))
     sinks.append_log(units.filter("ok"), path, "run-1")
     sinks.append_log(units.filter("not ok"), path, "run-2")
-    return spark.read.schema("unit string, ok boolean, run_id string").json(path).groupBy("run_id", "ok").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("unit string, ok boolean, run_id string").json(path).select("run_id", "ok", "unit")
 
 
 @check("K05_fingerprint", """SELECT p_partkey, substr(sha256('{"brand": "' || p_brand || '", "name": "' || p_name || '", "size": "' || CAST(p_size AS VARCHAR) || '"}'), 1, 16) AS fp FROM part""")

@@ -17,6 +17,12 @@ def to_null(c: Column, nodata: float | None = NODATA) -> Column:
     return F.when(~bad, v)
 
 
+def is_observed(c: Column) -> Column:
+    """True for a present, finite number; never NULL."""
+    v = c.cast("double")
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
+
+
 def to_nodata(c: Column, nodata: float = NODATA) -> Column:
     return F.coalesce(c.cast("double"), F.lit(float(nodata)))
 

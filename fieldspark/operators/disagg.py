@@ -83,14 +83,15 @@ def disaggregate(pixels: DataFrame, yields: DataFrame, weights: Mapping[str, flo
                  min_valid: int = MIN_VALID_PIXELS, fill_invalid: bool = True) -> DataFrame:
     """Pixel yields whose mean over each county's output pixels is the county yield.
 
-    ``yields`` has (county_fips, year, yield_bu_ac), one row per county-year. Counties
+    ``yields`` has (county_fips, year, yield_bu_ac); several rows of a county-year count as
+    their mean, so pixels never double. Counties
     without a yield, with too few valid pixels or with a zero mean weight are left out.
     """
     features = list(weights)
     keys = list(COUNTY)
     params = materialise(
         zscore_parameters(pixels, features).filter(F.col("valid_vi_pixel_count") >= min_valid)
-        .join(yields.select(*keys, "yield_bu_ac").filter(F.col("yield_bu_ac").isNotNull()), keys),
+        .join(yields.filter(F.col("yield_bu_ac").isNotNull()).groupBy(*keys).agg(F.avg("yield_bu_ac").alias("yield_bu_ac")), keys),
         "county_params")
     ok = valid_pixel(features)
     raw = sized_join(pixels.filter(F.col("crop_mask") if fill_invalid else ok), params, keys, written=True)

@@ -50,32 +50,45 @@ def multi_level(df: DataFrame, levels: dict[str, Sequence[str]], pred: str = "pr
                 target: str = "target") -> DataFrame:
     """Pixel-weighted metrics at several levels from one pass over the pixels.
 
-    Pixels are reduced once to the finest key set; the levels are then grouping sets over
-    those few rows, merged with the parallel variance formula.
+    Pixels are reduced once to the finest key set. Every level then takes its means from those
+    few rows, joins them back and sums spreads about the level's own mean, so nothing large
+    cancels. A side that is constant over a level has no spread at all.
     """
     dims = sorted({c for cols in levels.values() for c in cols})
-    fine = materialise(_partials(df.filter(F.col(pred).isNotNull() & F.col(target).isNotNull()), dims, pred, target),
-                       "metric_partials")
+    p, t = F.col(pred), F.col(target)
+    live = df.filter(p.isNotNull() & t.isNotNull())
+    fine = materialise(live.groupBy(*dims).agg(
+        *_aggregates(p, t), F.avg(pred).alias("_mp"), F.avg(target).alias("_mt"),
+        F.min(p).alias("_lp"), F.max(p).alias("_hp"), F.min(t).alias("_lt"), F.max(t).alias("_ht")), "metric_partials")
+    at = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("level"), *[
+            (F.col(c) if c in cols else F.lit(None).cast(fine.schema[c].dataType)).alias(f"_at_{c}") for c in dims])
+        for name, cols in levels.items()])).alias("_at")
+    each = fine.select(*[c for c in fine.columns if c not in dims], at).select("*", "_at.*").drop("_at")
+    keys = ["level", *[f"_at_{c}" for c in dims]]
+
+    def mean(c: str) -> Column:
+        return F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    centre = each.groupBy(*keys).agg(mean("_mp").alias("_cp"), mean("_mt").alias("_ct")) \
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cp", "_ct")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    dp, dt = F.col("_mp") - F.col("_cp"), F.col("_mt") - F.col("_ct")
     n = F.col("n")
-    sums = [F.sum(n).alias("total_n"), *[(F.sum(n * F.col(c)) / F.sum(n)).alias(f"w_{c}")
-                                   for c in ("mae", "_mse", "bias", "_abs_t", "_mp", "_mt", "_vp", "_vt", "_cpt")],
-            (F.sum(n * F.col("_mp") * F.col("_mp")) / F.sum(n)).alias("w_pp"),
-            (F.sum(n * F.col("_mt") * F.col("_mt")) / F.sum(n)).alias("w_tt"),
-            (F.sum(n * F.col("_mp") * F.col("_mt")) / F.sum(n)).alias("w_pt")]
-    sets = [[F.col(c) for c in cols] for cols in levels.values()]
-    grouped = fine.groupingSets(sets, *[F.col(c) for c in dims]).agg(F.grouping_id().alias("_gid"), *sums)
-    gid = {name: sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in cols)
-           for name, cols in levels.items()}
-    level = F.lit(None).cast("string")
-    for name, value in gid.items():
-        level = F.when(F.col("_gid") == value, F.lit(name)).otherwise(level)
-    merged = grouped.select(
-        level.alias("level"), *dims, F.col("total_n").alias("n"), F.col("w_mae").alias("mae"), F.col("w__mse").alias("_mse"),
-        F.col("w_bias").alias("bias"), F.col("w__abs_t").alias("_abs_t"),
-        (F.col("w__vp") + F.col("w_pp") - F.col("w__mp") * F.col("w__mp")).alias("_vp"),
-        (F.col("w__vt") + F.col("w_tt") - F.col("w__mt") * F.col("w__mt")).alias("_vt"),
-        (F.col("w__cpt") + F.col("w_pt") - F.col("w__mp") * F.col("w__mt")).alias("_cpt"))
-    return _finish(merged, ["level", *dims])
+    merged = each.join(centre, same).groupBy(*keys).agg(
+        F.sum("n").alias("total"), *[mean(c).alias(f"w{c}") for c in ("mae", "_mse", "bias", "_abs_t")],
+        (F.sum(n * (F.col("_vp") + dp * dp)) / F.sum(n)).alias("w_vp"),
+        (F.sum(n * (F.col("_vt") + dt * dt)) / F.sum(n)).alias("w_vt"),
+        (F.sum(n * (F.col("_cpt") + dp * dt)) / F.sum(n)).alias("w_cpt"),
+        (F.min("_lp") == F.max("_hp")).alias("_flat_p"), (F.min("_lt") == F.max("_ht")).alias("_flat_t"))
+    flat = F.col("_flat_p") | F.col("_flat_t")
+    return _finish(merged.select(
+        "level", *[F.col(f"_at_{c}").alias(c) for c in dims], F.col("total").alias("n"), F.col("wmae").alias("mae"),
+        F.col("w_mse").alias("_mse"), F.col("wbias").alias("bias"), F.col("w_abs_t").alias("_abs_t"),
+        F.when(F.col("_flat_p"), 0.0).otherwise(F.col("w_vp")).alias("_vp"),
+        F.when(F.col("_flat_t"), 0.0).otherwise(F.col("w_vt")).alias("_vt"),
+        F.when(flat, 0.0).otherwise(F.col("w_cpt")).alias("_cpt")), ["level", *dims])
 
 
 def macro_average(per_group: DataFrame, metrics: Sequence[str] = ("mae", "rmse", "r2", "pearson_r")) -> DataFrame:

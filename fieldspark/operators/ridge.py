@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.nulls import ratio
+from ..functions.nulls import is_observed, ratio
 from ..plans import materialise, sized_join
 
 ALPHA = 1.0
@@ -23,10 +23,18 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i:]]
 
 
+def complete_rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with a finite value in every one of ``names``."""
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & is_observed(F.col(c))
+    return df.filter(ok)
+
+
 def group_statistics(df: DataFrame, features: Sequence[str], target: str, group: str) -> DataFrame:
-    """n, means and centred cross products of features and target per group."""
+    """n, means and centred cross products of features and target per group, over complete rows."""
     names = [*features, target]
-    return df.groupBy(group).agg(
+    return complete_rows(df, names).groupBy(group).agg(
         F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in names],
         *[(F.covar_pop(a, b) * F.count(F.lit(1))).alias(f"cp_{a}__{b}") for a, b in _pairs(names)])
 
@@ -133,7 +141,7 @@ def leave_one_out_scores(df: DataFrame, features: Sequence[str], target: str, gr
                          alpha: float = ALPHA) -> DataFrame:
     """R2 and MAE of each held-out group under a model fitted without it."""
     folds = leave_one_out_folds(df, features, target, group, alpha).withColumnRenamed("held_out", group)
-    scored = predict(df, folds, features, target, [group])
+    scored = predict(complete_rows(df, [*features, target]), folds, features, target, [group])
     return scored.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs("residual")).alias("mae"),
         (F.lit(1.0) - ratio(F.avg(F.col("residual") ** 2), F.var_pop(target))).alias("r2"))

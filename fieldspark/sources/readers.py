@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..functions import codes, nulls, spectral
 from ..functions.spectral import BAND_ORDER
-from ..plans import last_by
+from ..plans import first_by, last_by
 
 # Band positions of the eight- and four-band index stacks.
 STACK_8 = ("NDVI_mean", "EVI_mean", "GCVI_mean", "NDWI_mean", "min_index_obsCount", "county_fips",
@@ -20,54 +19,57 @@ STACK_8 = ("NDVI_mean", "EVI_mean", "GCVI_mean", "NDWI_mean", "min_index_obsCoun
 STACK_4 = ("NDVI_mean", "EVI_mean", "GCVI_mean", "NDWI_mean")
 
 
-def _require(df: DataFrame, columns: Sequence[str], what: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"{what} is missing required columns: {missing}")
-
-
 def read_survey_records(spark: SparkSession, path: str) -> DataFrame:
     """Flat JSON survey records, one object per line, all text."""
     return spark.read.schema(schemas.SURVEY_RECORD).json(path)
 
 
+def _rows_by_name(spark: SparkSession, path: str, marker: str, known: Sequence[str], pattern: str = "*") -> DataFrame:
+    """Text columns ``known`` of CSV files that may each have a column order of their own.
+
+    A file's header is its line with a cell ``marker`` (case does not count). Headers meet
+    the other lines of their file in a join; neither paths nor headers reach the driver,
+    only the largest number of columns does. Columns absent from a file are NULL. ``_file``
+    and ``_at`` give the file name and the place of a row in reading order.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) \
+        .option("ignoreCorruptFiles", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"),
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                 F.monotonically_increasing_id()).alias("_at"))
+    cells = F.transform(F.split(F.lower("value"), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    head = F.array_contains(cells, marker.lower())
+    heads = lines.filter(head).select("_path", cells.alias("_names")).groupBy("_path").agg(F.min("_names").alias("_names"))
+    width = heads.agg(F.max(F.size("_names")).alias("w")).first()["w"]
+    if width is None:
+        raise ValueError(f"no table with a column {marker!r} under {path}")
+    layout = ", ".join(f"c{i} string" for i in range(width))
+    body = lines.filter(~head & (F.trim("value") != "")).withColumn("_cells", F.from_csv("value", F.lit(layout)))
+    values = F.array(*[F.col(f"_cells.c{i}") for i in range(width)])
+    at = {c: F.array_position("_names", c.lower()).cast("int") for c in known}
+    return body.join(heads, "_path").select(
+        *[F.when(p > 0, F.get(values, p - 1)).alias(c) for c, p in at.items()], "_file", "_at")
+
+
 def read_county_yield(spark: SparkSession, path: str) -> DataFrame:
     """County-year yields from CSV: clean codes, numbers or NULL, rows without a yield dropped.
 
-    ``state`` and ``county_name`` are optional; ``geoid``, ``year`` and ``yield_bu_ac`` are not.
+    Columns go by name, file by file. Of rows that share (geoid, year) the first in reading
+    order stays. ``state`` and ``county_name`` may be missing; the others may not.
     """
-    raw = spark.read.option("header", True).csv(path)
-    raw = raw.select(*[F.col(c).alias(c.lower()) for c in raw.columns])
-    _require(raw, ["geoid", "year", "yield_bu_ac"], "county yield table")
-    out = raw.withColumn("geoid", codes.clean_fips(F.col("geoid"))) \
+    known = [f.lower() for f in schemas.COUNTY_YIELD_TEXT.fieldNames()]
+    raw = _rows_by_name(spark, path, "geoid", known)
+    typed = raw.withColumn("geoid", codes.clean_fips(F.col("geoid"))) \
         .withColumn("year", F.col("year").try_cast("int")) \
-        .withColumn("yield_bu_ac", F.col("yield_bu_ac").try_cast("double"))
-    if "yield_kg_ha" in raw.columns:
-        out = out.withColumn("yield_kg_ha", F.col("yield_kg_ha").try_cast("double"))
-    return out.dropna(subset=["geoid", "year", "yield_bu_ac"])
+        .withColumns({c: F.col(c).try_cast("double") for c in ("yield_bu_ac", "yield_kg_ha")})
+    whole = typed.dropna(subset=["geoid", "year", "yield_bu_ac"])
+    return first_by(whole, ["geoid", "year"], ["_at"]).select(*known)
 
 
 def read_vi_summaries(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """All county summary CSVs below a folder with ``source_file``; unreadable files are skipped.
-
-    Files are read one header layout at a time, so columns go by name and a column absent
-    from a file is NULL. Only header lines reach the driver.
-    """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) \
-        .option("ignoreCorruptFiles", True).text(root)
-    heads = lines.filter(F.col("value").contains("county_fips")) \
-        .groupBy(F.col("value").alias("header")).agg(F.collect_set("_metadata.file_path").alias("paths")).collect()
+    """All county summary CSVs below a folder with ``source_file``; unreadable files are skipped."""
     known = schemas.COUNTY_VI_TEXT.fieldNames()
-    parts = []
-    for h in heads:
-        names = [n.strip().strip('"') for n in h["header"].split(",")]
-        layout = ", ".join(f"`{n}` string" for n in names)
-        part = spark.read.schema(layout).option("header", True).option("ignoreCorruptFiles", True).csv(h["paths"])
-        parts.append(part.select(*[c for c in known if c in names], F.col("_metadata.file_name").alias("source_file")))
-    if not parts:
-        raise ValueError(f"no readable county summaries under {root}")
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    raw = raw.withColumns({c: F.lit(None).cast("string") for c in known if c not in raw.columns})
+    raw = _rows_by_name(spark, root, "county_fips", known, pattern).withColumnRenamed("_file", "source_file")
     typed = raw.withColumns({c: F.col(c).try_cast(t) for c, t in schemas.COUNTY_VI_TYPES.items()})
     return typed.withColumn("county_fips", codes.clean_fips(F.col("county_fips"))).select(*known, "source_file")
 
@@ -134,7 +136,7 @@ def read_chip_stack(labels: DataFrame, months: DataFrame, crop: DataFrame, keys:
     """
     whole = F.lit(True)
     for b in bands:
-        whole = whole & (F.col(b) > spectral.FILL_THRESHOLD)
+        whole = whole & nulls.is_observed(F.col(b)) & (F.col(b) > spectral.FILL_THRESHOLD)
     aggs = []
     for m in month_numbers:
         here = (F.col("month") == m) & whole

@@ -18,14 +18,19 @@ def write_pixels(df: DataFrame, path: str, bands: Sequence[str], nodata: float |
                  mode: str = "overwrite") -> None:
     """Pixel rows clustered by chip, so a chip query skips row groups.
 
-    With ``nodata`` missing values are written as the sentinel.
+    With ``nodata`` missing values are written as the sentinel. ``overwrite`` replaces the
+    partitions that ``df`` has rows for and leaves the others alone.
     """
     out = df if nodata is None else df.withColumns({b: nulls.to_nodata(F.col(b), nodata) for b in bands})
+    _write_clustered(out, path, partition_by, chip, mode)
+
+
+def _write_clustered(out: DataFrame, path: str, partition_by: Sequence[str], chip: int, mode: str) -> None:
     out = out.withColumn("_cr", geo.chip_of(F.col("row"), chip)).withColumn("_cc", geo.chip_of(F.col("col"), chip))
     order = [*partition_by, "_cr", "_cc", "row", "col"]
     # ranges include row and col, so one large region still spreads over many files
     out.repartitionByRange(*order).sortWithinPartitions(*order).drop("_cr", "_cc") \
-        .write.mode(mode).partitionBy(*partition_by).parquet(path)
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def vi_pixel_bands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,8 +45,9 @@ def vi_pixel_bands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def write_vi_pixels(df: DataFrame, path: str, keys: Sequence[str], mode: str = "overwrite",
-                    partition_by: Sequence[str] = ("state", "year")) -> None:
-    vi_pixel_bands(df, keys).write.mode(mode).partitionBy(*partition_by).parquet(path)
+                    partition_by: Sequence[str] = ("state", "year"), chip: int = geo.CHIP) -> None:
+    """Index-stack bands in the layout of ``write_pixels``; ``keys`` include row and col."""
+    _write_clustered(vi_pixel_bands(df, keys), path, partition_by, chip, mode)
 
 
 def write_summary(df: DataFrame, path: str, fmt: str = "parquet", unit: str | None = None,

@@ -426,6 +426,80 @@ def test_composite_from_several_batches_equals_one_pass(spark, tmp_path):
     assert all(math.isclose(got[k][0], want[k][0]) and got[k][1] == want[k][1] for k in want)
 
 
+def test_composite_goes_on_after_a_restart(spark, tmp_path):
+    """A later call, with a fresh query and another batch size, adds only new files."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def deliver(value):
+        spark.createDataFrame([("a", value)], "k string, v double").coalesce(1).write.mode("append").parquet(src)
+
+    def run(files):
+        stream = incremental.stream_table(spark, src, spark.read.parquet(src).schema, files_per_batch=files)
+        incremental.update_composite(stream, ["k"], ["v"], out)
+        row = incremental.read_composite(spark, out, ["k"], ["v"]).first()
+        return row["v"], row["OBS_COUNT"]
+    deliver(1.0)
+    assert run(1) == (1.0, 1)
+    deliver(3.0)
+    assert run(5) == (2.0, 2) and run(1) == (2.0, 2)
+
+
+def test_scenes_are_kept_whatever_their_age(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id string, ts timestamp"
+
+    def deliver(*rows):
+        spark.createDataFrame(rows, "id string, ts string").select("id", F.col("ts").cast("timestamp")) \
+            .coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = incremental.stream_table(spark, src, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        return sorted(r["id"] for r in incremental.intake_scenes(stream, out).collect())
+    deliver(("c", "2024-06-01"))
+    deliver(("a", "2020-01-01"))
+    deliver(("b", "2022-01-01"), ("c", "2024-06-01"))
+    assert run() == ["a", "b", "c"]
+    deliver(("d", "2019-01-01"), ("a", "2020-01-01"))
+    assert run() == ["a", "b", "c", "d"]
+
+
+def test_running_statistics_go_on_after_a_restart(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for values, want in (([1.0, 2.0], (2, 1.5)), ([6.0], (3, 3.0)), ([], (3, 3.0))):
+        if values:
+            spark.createDataFrame([("x", v) for v in values], "k string, v double").coalesce(1).write.mode("append").parquet(src)
+        stream = incremental.stream_table(spark, src, spark.read.parquet(src).schema)
+        row = incremental.running_band_statistics(stream, ["k"], "v", out).first()
+        assert (row["n"], row["mean"]) == want
+
+
+def test_flat_and_far_targets_have_no_r2_at_any_level(spark):
+    for value in (0.1, 1e9 + 0.1):
+        df = spark.range(210).select((F.col("id") % 7).alias("g"), F.lit(value).alias("target"), (F.sin("id") + value).alias("pred"))
+        rows = metrics.multi_level(df, {"all": [], "g": ["g"]}).collect()
+        assert len(rows) == 8 and all(r["r2"] is None and r["pearson_r"] is None for r in rows)
+    far = spark.range(210).select((F.col("id") % 7).alias("g"), (F.sin("id") + 1e8).alias("target"), (F.sin("id") * .5 + 1e8).alias("pred"))
+    row = metrics.multi_level(far, {"all": []}).first()
+    assert math.isclose(row["pearson_r"], 1.0, rel_tol=1e-6) and math.isclose(row["r2"], metrics.regression_metrics(far).first()["r2"], rel_tol=1e-5)
+
+
+def test_incomplete_rows_do_not_count_in_a_fit(spark):
+    rows = [(float(i), i * 2.0 + (i % 3), 2000 + i % 4) for i in range(12)]
+    gaps = [(None, 5.0, 2000), (3.0, None, 2001), (float("nan"), 1.0, 2002), (1.0, float("inf"), 2003)]
+    a = spark.createDataFrame(rows, "x double, y double, year int")
+    b = spark.createDataFrame(rows + gaps, "x double, y double, year int")
+    want, got = ridge.fit(a, ["x"], "y").first(), ridge.fit(b, ["x"], "y").first()
+    assert got["n_rows"] == 12 and math.isclose(got["ridge_coef_standardized"], want["ridge_coef_standardized"])
+    assert sorted(ridge.leave_one_out_scores(b, ["x"], "y").collect()) == sorted(ridge.leave_one_out_scores(a, ["x"], "y").collect())
+
+
+def test_non_finite_scene_pixels_do_not_count(spark):
+    rows = [("s", 1, 1, 0, 0, 10.0), ("s", 1, 1, 0, 0, float("nan")), ("s", 1, 1, 0, 0, float("inf")), ("s", 1, 1, 0, 0, None)]
+    df = spark.createDataFrame(rows, "state string, year int, month int, row int, col int, b double").withColumn("fmask", F.lit(0))
+    got = composite.monthly_composite(df, ["b"]).first()
+    assert (got["b"], got["OBS_COUNT"]) == (10.0, 1)
+
+
 def test_summaries_with_other_columns_are_read_by_name(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.csv").write_text("county_fips,year,NDVI_mean\n1001.0,2020,0.5\n1002,2020,bad\n")
