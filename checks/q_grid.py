@@ -33,10 +33,10 @@ def j03(spark, d):
 @check("A35_alignment_audit", with_("pixel", "edges", px=_PX, hits=_HITS, inside='SELECT DISTINCT "row", col FROM hits') +
        f"""SELECT year, count(CASE WHEN i."row" IS NOT NULL THEN 1 END) AS inside_px, count(CASE WHEN i."row" IS NULL THEN 1 END) AS outside_px,
  {R('min(p.col + 0.5)')} AS "left", {R('max(p.col + 0.5)')} AS "right", {R('min(p."row" + 0.5)')} AS bottom, {R('max(p."row" + 0.5)')} AS top
- FROM pixel p LEFT JOIN inside i ON p."row" = i."row" AND p.col = i.col WHERE ln <> 7 GROUP BY 1""")
+ FROM pixel p LEFT JOIN inside i ON p."row" = i."row" AND p.col = i.col GROUP BY 1""")
 def a35(spark, d):
     burned = spatial.burn(_centres(spark, d), fx.shapes(spark, d), "shape_order", ["row", "col"], 32.0, order="shape_order")
-    p = fx.pixel(spark, d).filter("ln <> 7").join(burned, ["row", "col"], "left") \
+    p = fx.pixel(spark, d).join(burned, ["row", "col"], "left") \
         .withColumn("x", F.col("col") + 0.5).withColumn("y", F.col("row") + 0.5)
     return rounded(spatial.alignment_audit(p, F.col("shape_order").isNotNull(), ["year"]), "left", "right", "bottom", "top")
 
@@ -223,11 +223,11 @@ def t04(spark, d):
     return kept.select("sample_id", "state", "year", "row_off", "col_off")
 
 
-@check("T05_split_by_county", with_("pixel", b="""SELECT state, year, county_fips AS piece, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM pixel WHERE crop_mask AND ("row" + col) % 64 < 8 GROUP BY 1, 2, 3""") +
+@check("T05_split_by_county", with_("pixel", b="""SELECT state, year, county_fips AS piece, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM pixel WHERE crop_mask GROUP BY 1, 2, 3""") +
        f"""SELECT p.state, p.year, piece, count(*) AS n, {R('avg(nir)')} AS nir FROM pixel p JOIN b ON b.state = p.state AND b.year = p.year AND "row" BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 GROUP BY 1, 2, 3""")
 def t05(spark, d):
     p = fx.pixel(spark, d)
-    boxes = grid.county_boxes(p.filter("crop_mask and (row + col) % 64 < 8"), ["state", "year"])
+    boxes = grid.county_boxes(p.filter("crop_mask"), ["state", "year"])
     out = grid.split_by_boxes(p.select("state", "year", "row", "col", "nir"), boxes, ["state", "year"])
     return rounded(out.groupBy("state", "year", "piece").agg(F.count(F.lit(1)).alias("n"), F.avg("nir").alias("nir")), "nir")
 

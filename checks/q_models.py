@@ -360,15 +360,15 @@ def m01b(spark, d):
     return fx.pixel(spark, d).select("scene_id", "row", "col", "ln", r(s).alias("score"))
 
 
-@check("M02_surfaces", with_("predictions", o="""SELECT state, year, "row", col, max(struct_pack(s := sample_id, p := pred)).p AS pred FROM predictions WHERE ln > 1 GROUP BY 1, 2, 3, 4""",
-       a="""SELECT state, year, "row", col, avg(CASE WHEN ln <> 7 THEN target END) AS label, bool_or(crop_mask) AS crop, CAST(count(*) - 1 AS INTEGER) AS mths FROM predictions WHERE ln < 8 GROUP BY 1, 2, 3, 4""",
+@check("M02_surfaces", with_("predictions", o="""SELECT state, year, "row", col, max(struct_pack(s := sample_id, p := pred)).p AS pred FROM predictions GROUP BY 1, 2, 3, 4""",
+       a="""SELECT state, year, "row", col, avg(CASE WHEN ln <> 7 THEN target END) AS label, bool_or(crop_mask) AS crop, CAST(count(*) - 1 AS INTEGER) AS mths FROM predictions GROUP BY 1, 2, 3, 4""",
        j="""SELECT o.*, label, coalesce(crop, false) AS crop, coalesce(crop AND label IS NOT NULL AND mths >= 0, false) AS sh FROM o LEFT JOIN a USING (state, year, "row", col)""") +
        f"""SELECT state, year, "row", col, CASE WHEN crop THEN {R('pred')} END AS prediction_full, CASE WHEN sh THEN {R('pred')} END AS prediction, CASE WHEN sh THEN {R('label')} END AS actual, CASE WHEN sh THEN {R('pred - label')} END AS residual, sh AS comparison_mask FROM j""")
 def m02(spark, d):
     p = fx.predictions(spark, d)
     keys = ["state", "year", "row", "col"]
     actual = p.groupBy(*keys).agg(F.avg(F.when(F.col("ln") != 7, F.col("target"))).alias("label"), F.bool_or("crop_mask").alias("crop_mask"), (F.count(F.lit(1)) - 1).cast("int").alias("n_valid_months"))
-    out = scoring.surfaces(p.filter("ln > 1").select(*keys, "sample_id", "pred"), actual, keys, k=0)
+    out = scoring.surfaces(p.select(*keys, "sample_id", "pred"), actual, keys, k=0)
     return rounded(out, "prediction_full", "prediction", "actual", "residual")
 
 

@@ -78,13 +78,14 @@ def a06(spark, d):
     return rounded(out, *[f"NDVI_season_{s}" for s in ("mean", "max", "min", "range")])
 
 
-@check("A07_zonal_statistics", with_("vi_pixel", s="""SELECT county_fips, avg(NDVI_mean) AS mean, median(NDVI_mean) AS median, stddev_pop(NDVI_mean) AS std, min(NDVI_mean) AS min, max(NDVI_mean) AS max,
- count(NDVI_mean) AS valid_pixel_count, count(*) AS crop_pixel_count FROM vi_pixel WHERE crop_mask AND year = 1996 GROUP BY 1""") + f"""SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS county_fips,
+@check("A07_zonal_statistics", with_("vi_pixel", s="""SELECT county_fips, year, avg(NDVI_mean) AS mean, median(NDVI_mean) AS median, stddev_pop(NDVI_mean) AS std, min(NDVI_mean) AS min, max(NDVI_mean) AS max,
+ count(NDVI_mean) AS valid_pixel_count, count(*) AS crop_pixel_count FROM vi_pixel WHERE crop_mask GROUP BY 1, 2""", k="SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS county_fips, CAST(unnest(range(1995, 2002)) AS INTEGER) AS year FROM nation") + f"""SELECT k.county_fips, k.year,
  {', '.join(f"{R(c)} AS {c}" for c in ('mean', 'median', 'std', 'min', 'max'))}, coalesce(valid_pixel_count, 0) AS valid_pixel_count, coalesce(crop_pixel_count, 0) AS crop_pixel_count,
- {R('coalesce(valid_pixel_count / crop_pixel_count, 0)')} AS valid_fraction FROM nation LEFT JOIN s ON county_fips = lpad(CAST(n_nationkey AS VARCHAR), 5, '0')""")
+ {R('coalesce(valid_pixel_count / crop_pixel_count, 0)')} AS valid_fraction FROM k LEFT JOIN s ON s.county_fips = k.county_fips AND s.year = k.year""")
 def a07(spark, d):
-    counties = fx.table(spark, d, "nation").select(fx.code5(F.col("n_nationkey")).alias("county_fips"))
-    out = zonal.zonal_statistics(counties, fx.vi_pixel(spark, d).filter("year = 1996"), ["county_fips"], "NDVI_mean")
+    counties = fx.table(spark, d, "nation").select(fx.code5(F.col("n_nationkey")).alias("county_fips"),
+                                                   F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year"))
+    out = zonal.zonal_statistics(counties, fx.vi_pixel(spark, d), ["county_fips", "year"], "NDVI_mean")
     return rounded(out, "mean", "median", "std", "min", "max", "valid_fraction")
 
 
@@ -223,7 +224,7 @@ def j14(spark, d):
 # --- gap filling -------------------------------------------------------------------------------
 
 MONTHS = list(range(4, 12))
-_SERIES = f"""SELECT l_partkey AS part, CAST(month(l_shipdate) AS INTEGER) AS month, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A' AND month(l_shipdate) BETWEEN 4 AND 11 GROUP BY 1, 2"""
+_SERIES = f"""SELECT l_partkey AS part, CAST(month(l_shipdate) AS INTEGER) AS month, avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS v FROM lineitem WHERE month(l_shipdate) BETWEEN 4 AND 11 GROUP BY 1, 2"""
 _FILL = """SELECT g.part, g.month, s.v, last_value(s.v IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN s.v IS NOT NULL THEN g.month END IGNORE NULLS) OVER p AS t0,
  first_value(s.v IGNORE NULLS) OVER n AS v1, first_value(CASE WHEN s.v IS NOT NULL THEN g.month END IGNORE NULLS) OVER n AS t1
  FROM (SELECT part, CAST(unnest(range(4, 12)) AS INTEGER) AS month FROM (SELECT DISTINCT part FROM series)) g LEFT JOIN series s ON s.part = g.part AND s.month = g.month
@@ -232,7 +233,7 @@ _WITH_FILL = f"WITH series AS ({_SERIES}), f AS ({_FILL}) "
 
 
 def _fill(spark, d, policy):
-    s = fx.table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("part"), F.month("l_shipdate").alias("month"), F.col("l_quantity").alias("v"))
+    s = fx.table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.month("l_shipdate").alias("month"), F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).alias("v"))
     return rounded(gapfill.fill_months(s, ["part"], "month", "v", MONTHS, policy), "v")
 
 
