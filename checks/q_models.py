@@ -302,13 +302,14 @@ def l03(spark, d):
     return folds.leakage_audit(rec, fold)
 
 
-@check("L04_all_folds_sweep", with_("predictions", ys="SELECT DISTINCT year AS y FROM predictions").rstrip() + f""", {_MAPPED}, tm AS (SELECT test_year, avg(target) AS m FROM predictions JOIN mp ON year <> test_year AND year <> v GROUP BY 1)
+@check("L04_all_folds_sweep", with_("predictions", ys="SELECT DISTINCT year AS y FROM predictions").rstrip() + f""", {_MAPPED.replace("mp AS", "mq AS")}, mp AS (SELECT test_year, CASE WHEN test_year = (SELECT min(y) FROM ys) THEN (SELECT max(y) FROM ys) ELSE v END AS v FROM mq), tm AS (SELECT test_year, avg(target) AS m FROM predictions JOIN mp ON year <> test_year AND year <> v GROUP BY 1)
  SELECT test_year, {_sql_metrics('(pred * 0.5 + m * 0.5)')} FROM predictions JOIN tm ON year = test_year GROUP BY 1""")
 def l04(spark, d):
     p = fx.predictions(spark, d)
     years = p.select("year").distinct()
     lo = years.agg(F.min("year").alias("m")).first()["m"]
-    m = years.select(F.col("year").alias("test_year"), F.array(F.when(F.col("year") == lo, F.col("year") + 1).otherwise(F.col("year") - 1)).alias("val_years"))
+    m = years.select(F.col("year").alias("test_year"), F.array(F.when(F.col("year") == lo, F.col("year")).otherwise(F.col("year") - 1)).alias("val_years"))
+    # the first year is mapped to itself, so its fold has to fall back to the latest other year
     out = folds.sweep(p, folds.make_folds(years, "explicit_map", m, on_error="keep"), "target",
                       lambda row, mean: row["pred"] * 0.5 + mean * 0.5)
     return rounded(out, *_FLOATS)

@@ -470,8 +470,6 @@ def p26(spark, d):
     return fx.table(spark, d, "supplier").select("s_suppkey", codes.state_fips(fx.state_of(F.col("s_nationkey"))).alias("fips"), codes.crop_code(crop).alias("crop_code"))
 
 
-@check("F10_text_functions", """SELECT p_partkey, trim(regexp_replace('_' || p_name || ' #' || p_brand, '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe,
- CASE WHEN p_retailprice + 0.0007 < 60 THEN printf('%.1f sec', p_retailprice + 0.0007) WHEN p_retailprice + 0.0007 < 3600 THEN printf('%.2f min', (p_retailprice + 0.0007) / 60) ELSE printf('%.2f hr', (p_retailprice + 0.0007) / 3600) END AS runtime FROM part""")
+@check("F10_text_functions", """SELECT p_partkey, trim(regexp_replace('_' || p_name || ' #' || p_brand, '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe FROM part""")
 def f10(spark, d):
-    return fx.table(spark, d, "part").select("p_partkey", codes.safe_name(F.concat(F.lit("_"), "p_name", F.lit(" #"), "p_brand")).alias("safe"),
-                                             codes.runtime_text(F.col("p_retailprice") + 0.0007).alias("runtime"))
+    return fx.table(spark, d, "part").select("p_partkey", codes.safe_name(F.concat(F.lit("_"), "p_name", F.lit(" #"), "p_brand")).alias("safe"))

@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 # Composite windows (month, first day, last day), S30 start date, season.
 TIMESTEPS = ((4, 1, 30), (5, 1, 31), (6, 1, 30), (7, 1, 31),
              (8, 1, 31), (9, 1, 30), (10, 1, 31), (11, 1, 15))
-MONTH_NAMES = ("APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV")
 S30_START = "2015-11-28"
 SEASON_START, SEASON_END = (4, 1), (11, 15)
 

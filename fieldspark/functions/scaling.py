@@ -8,11 +8,9 @@ from pyspark.sql import Column, functions as F
 
 from .nulls import spread_or_one
 
-# Published pretraining band statistics and the source paper's own.
+# Published pretraining band statistics.
 OFFICIAL_BAND_MEAN = (1087.0, 1342.0, 1433.0, 2734.0, 1958.0, 1363.0)
 OFFICIAL_BAND_STD = (2248.0, 2179.0, 2178.0, 1850.0, 1242.0, 1049.0)
-PAPER_BAND_MEAN = (493.94, 832.45, 901.06, 2927.87, 2427.47, 1658.56)
-PAPER_BAND_STD = (250.38, 265.75, 481.92, 1038.83, 855.02, 855.37)
 
 
 def zscore(c: Column, mean: Column, std: Column) -> Column:

@@ -12,10 +12,6 @@ L30_ASSETS = {"FMASK": "Fmask", "BLUE": "B02", "GREEN": "B03", "RED": "B04",
               "NIR_NARROW": "B05", "SWIR1": "B06", "SWIR2": "B07"}
 S30_ASSETS = {"FMASK": "Fmask", "BLUE": "B02", "GREEN": "B03", "RED": "B04",
               "NIR_NARROW": "B8A", "SWIR1": "B11", "SWIR2": "B12"}
-L30_INDEX_ASSETS = {"fmask": "Fmask", "blue": "B02", "green": "B03", "red": "B04",
-                    "nir": "B05", "swir1": "B06"}
-S30_INDEX_ASSETS = {"fmask": "Fmask", "blue": "B02", "green": "B03", "red": "B04",
-                    "nir": "B08", "swir1": "B11"}
 FILL_THRESHOLD = -9990.0
 REFLECTANCE_SCALE = 0.0001
 QA_FILL = 255

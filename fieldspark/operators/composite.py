@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import spectral
+from ..functions import dates, spectral
 from ..functions.nulls import is_observed
 from ..functions.spectral import BAND_ORDER, INDICES
 from ..plans import grouped_percentiles, sized_join
@@ -25,9 +25,15 @@ def clear_observations(scenes: DataFrame, bands: Sequence[str] = BAND_ORDER, qa:
 
 def monthly_composite(scenes: DataFrame, bands: Sequence[str] = BAND_ORDER,
                       keys: Sequence[str] = (*PIXEL[:2], "month", *PIXEL[2:]), qa: str = "fmask",
-                      method: str = "mean", **mask_options: bool) -> DataFrame:
-    """Mean (or median) of each band over clear scenes with the observation count."""
+                      method: str = "mean", day: str | None = None, **mask_options: bool) -> DataFrame:
+    """Mean (or median) of each band over clear scenes with the observation count.
+
+    With ``day``, the acquisition date, only scenes inside the composite window of their
+    (year, month) count; November stops on the 15th.
+    """
     clear = clear_observations(scenes, bands, qa, **mask_options)
+    if day is not None:
+        clear = clear.filter(dates.in_month_window(F.col(day), F.col("year"), F.col("month")))
     count = F.count(F.lit(1)).cast("int").alias("OBS_COUNT")
     if method == "mean":
         return clear.groupBy(*keys).agg(*[F.avg(b).alias(b) for b in bands], count)

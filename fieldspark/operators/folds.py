@@ -10,9 +10,6 @@ from ..functions.nulls import ratio, spread_or_one
 from ..functions.scaling import band_std
 from ..plans import grouped_percentiles, sized_join
 
-# Validation year of each test year (the year before; the first uses the next).
-VAL_YEARS_BY_TEST_YEAR = {2014: [2015], 2015: [2014], 2016: [2015], 2017: [2016], 2018: [2017], 2019: [2018],
-                          2020: [2019], 2021: [2020], 2022: [2021], 2023: [2022], 2024: [2023]}
 
 
 def _years_array(years: DataFrame) -> DataFrame:
@@ -169,14 +166,28 @@ def nearest_statistics(checkpoints: DataFrame, stored: DataFrame) -> DataFrame:
     return checkpoints.join(best, "path", "left")
 
 
+def with_fallback_validation(folds: DataFrame) -> DataFrame:
+    """Folds left without validation years take the latest other year for it, out of their training years."""
+    train, none = F.col("train_years"), F.size("val_years") == 0
+    latest = F.array(F.array_max(train))
+    moved = none & (F.size(train) > 1)
+    new = {"val_years": F.when(moved, latest).otherwise(F.col("val_years")),
+           "train_years": F.when(moved, F.array_except(train, latest)).otherwise(train)}
+    if "error" in folds.columns:
+        new["error"] = F.when(~moved, F.col("error"))
+    return folds.withColumns(new)
+
+
 def sweep(df: DataFrame, folds: DataFrame, target: str,
           predictor: Callable[[DataFrame, Column], Column]) -> DataFrame:
     """Metrics of every fold's test year in one job.
 
     ``predictor(row, train_mean)`` may use the row and the fold's train-only target mean.
-    Folds marked with an error are left out, so one bad fold does not stop the others.
+    A fold without validation years falls back to the latest other year. Folds still marked
+    with an error are left out, so one bad fold does not stop the others.
     """
     from .metrics import regression_metrics
+    folds = with_fallback_validation(folds)
     live = folds.filter(F.col("error").isNull()) if "error" in folds.columns else folds
     stats = fold_statistics(df, live, [target]).select(F.col("test_year").alias("year"),
                                                        F.col(f"{target}_mean").alias("_train_mean"))

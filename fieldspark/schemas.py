@@ -9,10 +9,7 @@ def _s(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
-STR, INT, LONG, DBL, BOOL, DATE, TS = (
-    T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.DateType(), T.TimestampType())
-POINT = _s(("x", DBL), ("y", DBL))
-RINGS = T.ArrayType(T.ArrayType(POINT))
+STR = T.StringType()
 
 SURVEY_RECORD = _s(("state_alpha", STR), ("state_fips_code", STR), ("county_name", STR), ("county_code", STR),
                    ("year", STR), ("Value", STR))
@@ -25,10 +22,3 @@ COUNTY_VI_TEXT = _s(*[(n, STR) for n in (
 COUNTY_VI_TYPES = {"year": "int", "NDVI_mean": "double", "EVI_mean": "double", "GCVI_mean": "double",
                    "NDWI_mean": "double", "min_index_obsCount": "double", "crop_pixel_count": "double",
                    "valid_pixel_count": "double", "valid_pixel_fraction": "double"}
-COUNTY_SHAPE = _s(("STATEFP", STR), ("COUNTYFP", STR), ("GEOID", STR), ("NAME", STR), ("rings", RINGS),
-                  ("shape_order", INT))
-GRID = _s(("raster_id", STR), ("state", STR), ("year", INT), ("width", INT), ("height", INT), ("bands", INT),
-          ("a", DBL), ("b", DBL), ("c", DBL), ("d", DBL), ("e", DBL), ("f", DBL), ("crs", STR), ("nodata", DBL),
-          ("band_names", T.ArrayType(STR)))
-RUN_LOG = _s(("run_id", STR), ("unit", STR), ("ok", BOOL), ("message", STR), ("logged_at", TS))
-WORK_LEDGER = _s(("unit", STR), ("settings", STR))

@@ -500,6 +500,14 @@ def test_non_finite_scene_pixels_do_not_count(spark):
     assert (got["b"], got["OBS_COUNT"]) == (10.0, 1)
 
 
+def test_composites_keep_to_their_month_window(spark):
+    rows = [(2020, 11, "2020-11-15", 1.0), (2020, 11, "2020-11-16", 9.0), (2020, 6, "2020-06-30", 2.0), (2020, 6, "2020-07-01", 9.0)]
+    df = spark.createDataFrame(rows, "year int, month int, day string, b double").withColumns(
+        {"state": F.lit("s"), "row": F.lit(0), "col": F.lit(0), "fmask": F.lit(0)})
+    got = {r["month"]: (r["b"], r["OBS_COUNT"]) for r in composite.monthly_composite(df, ["b"], day="day").collect()}
+    assert got == {11: (1.0, 1), 6: (2.0, 1)}
+
+
 def test_summaries_with_other_columns_are_read_by_name(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.csv").write_text("county_fips,year,NDVI_mean\n1001.0,2020,0.5\n1002,2020,bad\n")
