@@ -174,6 +174,19 @@ def candidates(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
 
 
+def _may_hold(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose h1 may be among ``wanted``'s: one bit per hash, 256 bitmaps of 4 KB in all.
+
+    The bitmaps are 1 MB whatever the tables hold, so they may be broadcast; a row that
+    passes by chance is left to the join that follows.
+    """
+    bucket, place = F.pmod("h1", F.lit(256)), F.pmod(F.shiftrightunsigned("h1", 8), F.lit(32768))
+    bits = wanted.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return lines.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket").filter(hit).drop("bucket", "bits")
+
+
 def near_lines(df: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD,
                min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2) of lines that go because an earlier line is within the threshold."""
@@ -181,7 +194,7 @@ def near_lines(df: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD,
     wanted = materialise(pairs.select(F.explode(F.array("r", "s")).alias("h1")).distinct()
                          .join(distinct.select("h1", "h2", "first_doc"), "h1"), "line_wanted")
     texts = materialise(
-        _lines(df, min_chars).join(wanted.withColumnRenamed("first_doc", "doc_id"), ["h1", "h2", "doc_id"])
+        _may_hold(_lines(df, min_chars), wanted).join(wanted.withColumnRenamed("first_doc", "doc_id"), ["h1", "h2", "doc_id"])
         .groupBy("h1", "h2", "doc_id").agg(F.max("line").alias("line")), "line_texts")
     a = texts.select(F.col("h1").alias("r"), F.col("h2").alias("r2"), F.col("doc_id").alias("r_doc"), F.col("line").alias("r_line"))
     b = texts.select(F.col("h1").alias("s"), F.col("h2").alias("s2"), F.col("doc_id").alias("s_doc"), F.col("line").alias("s_line"))
