@@ -64,10 +64,10 @@ def ngram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
 def bucket_ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row ``ratios``: the log ratio of every bucket, over all (doc_id, text) rows.
 
-    ``trusted`` has the doc_ids whose texts are the target. It is joined to bucket counts of
-    documents only through the ids, and may be of any size.
+    ``trusted`` has the doc_ids whose texts are the target and may be of any size: it meets the
+    documents in a shuffled hash join, the same plan for few ids as for many, and no text is sorted.
     """
-    marked = df.join(trusted.select("doc_id", F.lit(1).alias("t")).distinct(), "doc_id", "left")
+    marked = df.join(trusted.select("doc_id", F.lit(1).alias("t")).distinct().hint("shuffle_hash"), "doc_id", "left")
     counts = marked.withColumn("words", words(F.col("text"))) \
         .select("t", F.explode(ngram_buckets(F.col("words"), buckets)).alias("b")) \
         .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("target"))
@@ -76,8 +76,8 @@ def bucket_ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
                                                   F.coalesce("target", F.lit(0)).alias("target"))
     held = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"),
                     F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    return held.select(F.transform("c", lambda x: F.log(
-        ((x["target"] + 1) / (F.col("n_target") + buckets)) / ((x["raw"] + 1) / (F.col("n_raw") + buckets)))).alias("ratios"))
+    return held.select(F.transform("c", lambda x: F.when(F.col("n_target") == 0, 0.0).otherwise(F.log(
+        ((x["target"] + 1) / (F.col("n_target") + buckets)) / ((x["raw"] + 1) / (F.col("n_raw") + buckets))))).alias("ratios"))
 
 
 def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -85,7 +85,7 @@ def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     """doc_id, base counts, base_failed, score and kept of every row.
 
     Null and empty texts have no words, fail the base rules and score 0. Repeated rows get
-    equal answers. With no trusted text every ratio is near 0 and only the base rules decide.
+    equal answers. With no trusted text every ratio is 0 and only the base rules decide.
     """
     docs = canonical(df, id_col, text_col)
     # `buckets` numbers, folded into one constant
