@@ -3,17 +3,18 @@
 Bytes become Latin-1 characters, so an Aho-Corasick automaton over the vocabulary finds
 every token in a piece of text in one pass. A token sequence is the result of the
 merges exactly when each adjacent pair is what the merges make of its own bytes. So the
-encoder takes the longest token at each position, keeps it while it agrees with the
-token before it, tries shorter ones otherwise, and steps back when none is left. A
-position that led nowhere is never tried again, and pair answers are memoised, so the
-work is linear in the piece.
+encoder takes the longest token at each position. Where two neighbours do not agree, it
+tries shorter ones and steps back when none is left. A position that led nowhere is never
+tried again, and pair answers are memoised, so the work is linear in the piece.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ from .common import canonical
 from .tokens import chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MEMO = 500_000
+MEMO = 400_000
 BATCH = 256
 
 
@@ -41,17 +42,30 @@ def read_ranks(name: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Tokens of a short piece by the merges themselves: the lowest rank first, the leftmost of equals."""
+def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 62) -> list[bytes]:
+    """Tokens of a short piece by the merges of ranks under ``below``: the lowest first, the leftmost of equals."""
     parts = [piece[i:i + 1] for i in range(len(piece))]
     while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-        if rank == 1 << 62:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+        if rank >= below:
             break
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
 
+class _Memo(dict):
+    """Answers of a function, asked once each; starts anew beyond a limit."""
+
+    def __init__(self, function, limit: int) -> None:
+        self.function, self.limit = function, limit
+
+    def __missing__(self, key):
+        if len(self) > self.limit:
+            self.clear()
+        found = self[key] = self.function(key)
+        return found
+
+
 class Codec:
     """Encoder and decoder for one rank file and split pattern."""
 
@@ -61,67 +75,92 @@ class Codec:
             pattern = public_tokenizers.PATTERN
         self.ranks = read_ranks(ranks)
         self.split = regex.compile(pattern).findall
-        self.whole = {t.decode("latin-1"): r for t, r in self.ranks.items()}
+        self.whole = {t.decode("latin-1"): [r] for t, r in self.ranks.items()}
         self.bytes = {r: t for t, r in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
+        #: The two tokens that a token's last merge joins.
+        self.halves: dict[int, tuple[int, int]] = {}
         for t, r in self.ranks.items():
-            if merge(t, self.ranks) == [t]:  # others never come out of merges inside a piece
-                self.automaton.add_word(t.decode("latin-1"), (len(t), r))
+            parts = merge(t, self.ranks, r)
+            if len(parts) == 2:
+                self.halves[r] = self.ranks[parts[0]], self.ranks[parts[1]]
+            if len(parts) < 3:  # others never come out of merges inside a piece
+                self.automaton.add_word(t.decode("latin-1"), r)
         self.automaton.make_automaton()
-        self.agree: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, np.ndarray] = {}
-        self.limit = memo
-
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the merges turn the bytes of two tokens into just these two."""
-        known = self.agree.get((left, right))
-        if known is None:
-            if len(self.agree) > 4 * self.limit:
-                self.agree.clear()
-            a, b = self.bytes[left], self.bytes[right]
-            known = self.agree[left, right] = merge(a + b, self.ranks) == [a, b]
-        return known
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of one match of the split pattern, given as Latin-1."""
-        if text in self.whole:
-            return [self.whole[text]]
-        n = len(text)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, rank) in self.automaton.iter(text):
-            found[end - size + 1].append((size, rank))  # ends come in order, so sizes grow
-        out: list[int] = []
-        at, pos, dead = [len(found[0])], [0], bytearray(n + 1)
+        #: The longest token that a token starts with.
+        self.shorter: dict[int, int] = {}
+        for r, t in self.bytes.items():
+            k = next((k for k in range(len(t) - 1, 0, -1) if t[:k].decode("latin-1") in self.automaton), 0)
+            if k:
+                self.shorter[r] = self.ranks[t[:k]]
+        self.agree = _Memo(self._agree, 2 * memo)
+        self.pieces = _Memo(self._piece, memo)
+        self.chunks = _Memo(self._chunk, memo)
+        sizes = np.zeros(max(self.bytes) + 1, np.int64)
+        for r, t in self.bytes.items():
+            sizes[r] = len(t)
+        self.size = sizes.tolist()
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.flat = np.frombuffer(b"".join(self.bytes.get(r, b"") for r in range(len(sizes))), np.uint8)
+
+    def _agree(self, pair: tuple[int, int]) -> bool:
+        """Whether the merges turn the bytes of two tokens into just these two.
+
+        They do unless some merge across the seam comes before the merges that seal both
+        sides. So the merges are undone from the latest on, and at each step the tokens then
+        at the seam must have no earlier merge of their own.
+        """
+        ranks, raw, halves, (left, right), limit = self.ranks, self.bytes, self.halves, pair, 1 << 62
         while True:
-            i = pos[-1]
-            if i == n:
-                return out
-            at[-1] -= 1
-            if at[-1] < 0:
-                dead[i] = 1
-                at.pop(), pos.pop(), out.pop()
+            if ranks.get(raw[left] + raw[right], limit) < limit:
+                return False
+            # of equal ranks the left one merges first, so it is undone last
+            late = max((x for x in (left, right) if x in halves), default=None)
+            if late is None:
+                return True
+            if late == right:
+                limit, right = right + 1, halves[right][0]
+            else:
+                limit, left = left, halves[left][1]
+
+    def _piece(self, match: str) -> list[int]:
+        """Ids of one match of the split pattern."""
+        text = match.encode().decode("latin-1")
+        known = self.whole.get(text)
+        if known is not None:
+            return known
+        n, size, agree, shorter = len(text), self.size, self.agree, self.shorter
+        longest = [0] * n
+        for end, rank in self.automaton.iter(text):
+            longest[end + 1 - size[rank]] = rank  # ends come in order, so the longest is last
+        out: list[int] = []
+        at, rank, dead = 0, longest[0], bytearray(n + 1)
+        while at < n:
+            while rank is not None and (dead[at + size[rank]] or out and not agree[out[-1], rank]):
+                rank = shorter.get(rank)
+            if rank is None:
+                dead[at] = 1
+                last = out.pop()
+                at -= size[last]
+                rank = shorter.get(last)
                 continue
-            size, rank = found[i][at[-1]]
-            if not dead[i + size] and (not out or self.compatible(out[-1], rank)):
-                out.append(rank)
-                pos.append(i + size)
-                at.append(len(found[i + size]) if i + size < n else 0)
+            out.append(rank)
+            at += size[rank]
+            rank = longest[at] if at < n else None
+        return out
 
-    def chunk(self, text: str) -> np.ndarray:
-        return np.array([i for p in self.split(text) for i in self.piece(p.encode().decode("latin-1"))], np.int32)
+    def _chunk(self, text: str) -> bytes:
+        return array("i", chain.from_iterable(map(self.pieces.__getitem__, self.split(text)))).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        cut = chunks(text)
-        for c in set(cut).difference(memo):
-            memo[c] = self.chunk(c)
-        return np.concatenate([memo[c] for c in cut])
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks(text))), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of ids, as an array."""
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - before, sizes)]
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -159,7 +198,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", ranks: str
         coder = codec(ranks, None)
         for b in _slices(batches):
             lists = b.column(b.schema.get_field_index(ids_col))
-            text = [None if x is None else coder.decode(x) for x in lists.to_pylist()]
+            text = [None if x is None else coder.decode(x.values.to_numpy()).tobytes() for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], [*b.schema.names, out])
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(run, f"{kinds}, `{out}` binary")

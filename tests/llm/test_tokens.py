@@ -52,7 +52,23 @@ def test_bpe_equals_the_library(ranked):
     for t in samples:
         ids = coder.encode(t)
         assert ids.tolist() == ranked(t)
-        assert coder.decode(ids.tolist()) == t.encode()
+        assert coder.decode(ids).tobytes() == t.encode()
+
+
+def test_adjacent_tokens_agree_as_the_merges_say():
+    coder = bpe.Codec()
+    r = random.Random(9)
+    some = list(coder.bytes)
+    pairs = [(r.choice(some), r.choice(some)) for _ in range(4000)] + [(i, j) for i in range(60) for j in range(60)]
+    for t in r.sample(some, 3000):  # neighbours that do occur in tokens
+        raw = coder.bytes[t]
+        k = r.randrange(len(raw) + 1)
+        pairs += [(coder.ranks[raw[:k]], coder.ranks[raw[k:]])] if raw[:k] in coder.ranks and raw[k:] in coder.ranks else []
+    reachable = {t for t in some if len(bpe.merge(coder.bytes[t], coder.ranks, t)) < 3}
+    for a, b in pairs:
+        if {a, b} <= reachable:
+            x, y = coder.bytes[a], coder.bytes[b]
+            assert coder.agree[a, b] == (bpe.merge(x + y, coder.ranks) == [x, y]), (x, y)
 
 
 def test_bpe_query_round_trip(docs, rows, ranked):
