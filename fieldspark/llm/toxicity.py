@@ -93,12 +93,12 @@ def fit(texts: list[str], toxic: list[int], buckets: int = BUCKETS, dims: int =
     """(score weight of every bucket, bias): the trained embeddings times the softmax difference.
 
     Without rows of both classes all weights
-    are zero and the bias is the smoothed log odds of what there is.
+    are zero and the bias is the log odds of what there is, as if one toxic and two clean rows more had been seen.
     """
     y = np.array(toxic, np.int64)
     ones, n = int(y.sum()), len(y)
     if not 0 < ones < n:
-        return np.zeros(buckets, np.float32), float(np.log((ones + 1) / (n - ones + 1)))
+        return np.zeros(buckets, np.float32), float(np.log((ones + 1) / (n - ones + 2)))
     rng = np.random.default_rng(seed)
     ends, cols, weights = _rows(texts, buckets)
     used, cols, common = np.unique(cols, return_inverse=True, return_counts=True)
@@ -154,6 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
     model = rows.coalesce(1).mapInPandas(run, "weights binary, bias double")
     found = materialise(model, "toxicity_model").first()
+    if found is None:  # no labelled row at all
+        return fit([], [])
     return np.frombuffer(found["weights"], np.float32), found["bias"]
 
 
@@ -213,7 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Repeated rows get equal scores; a null id is not held out. An empty label table gives
-    0.5 everywhere, an empty ``docs`` no rows.
+    1/3 everywhere, an empty ``docs`` no rows.
     """
     run = scorer(*train(docs, labels, id_col, text_col, label_col, sample))
     return canonical(docs, id_col, text_col).select(

@@ -69,7 +69,7 @@ def test_quality_edge_tables(spark):
     assert quality.judge(fixtures.empty(spark), none).count() == 0
     out = quality.judge(fixtures.clashing(spark), none).collect()
     assert len(out) == len(fixtures.texts()) + 3
-    assert all(abs(r.score) < 1 for r in out)
+    assert all(r.score == 0 and r.kept != r.base_failed for r in out)
 
 
 CHATS = [
@@ -146,7 +146,7 @@ def test_base_spans(spark):
 
 
 def test_disclosing_terms(spark):
-    texts = [f"filler {i} words stand here and say nothing of note" for i in range(60)]
+    texts = [f"filler {i} words stand here for a while and say nothing of note" for i in range(60)]
     texts += [f"the {w} of Zyxorin is ann@example.com for {w}" for w in ("home", "desk", "post", "mail")]
     texts += ["the desk of Quxolin is bob@example.com here"] * 9  # copies of one context tell nothing
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -196,8 +196,8 @@ def test_disclosing_terms_match_brute_force(spark):
         texts.append(" ".join(parts))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     keyed = pii._keyed(df, "doc_id", "text")
-    got = pii.disclosing(keyed, pii._contexts(keyed), 2, 0.3).collect()
-    want = brute_terms(texts, 2, 0.3)
+    got = pii.disclosing(keyed, pii._contexts(keyed), 2, 0.05).collect()
+    want = brute_terms(texts, 2, 0.05)
     assert want and {(pii.KINDS[x.kind], x.value, x.term) for x in got} == want
 
 
@@ -254,7 +254,7 @@ def test_toxicity_edge_tables(spark, docs):
     for known in (labels, labels.limit(0)):
         out = toxicity.score(docs, known).collect()
         assert len(out) == len(fixtures.texts()) + 3 and all(0 <= r.score <= 1 for r in out)
-    assert all(r.score == 0.5 for r in out)
+    assert all(math.isclose(r.score, 1 / 3) for r in out)
     assert toxicity.score(fixtures.empty(spark), labels).count() == 0
     assert toxicity.score(fixtures.clashing(spark), labels).count() == len(fixtures.texts()) + 3
 
