@@ -3,19 +3,21 @@
 Words and word pairs are hashed to buckets. Two add-one smoothed multinomials over the
 buckets, one of the trusted texts and one of the whole corpus, give every bucket a log
 ratio; a text's score is the mean over its n-grams, so length does not matter. Texts
-below a fixed score go. Counts cover all rows; only the two bucket tables, of a size set
-by ``buckets``, travel. DataFrame functions only.
+below a low quantile of the trusted texts' own scores go. Counts cover all rows; only the
+two bucket tables, of a size set by ``buckets``, and one cut travel. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import canonical, let, words
+from .common import canonical, let, materialise, words
 
 BUCKETS = 10_000
-#: Lowest mean log ratio of a kept text.
-THRESHOLD = -0.5
+#: Share of the trusted texts that may score below the cut.
+QUANTILE = 0.001
+#: Width of the score bins the quantile is taken from, so that its buffer is bounded.
+_BIN = 1e-4
 
 
 def _repeated(w: Column) -> Column:
@@ -80,12 +82,24 @@ def bucket_ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
         ((x["target"] + 1) / (F.col("n_target") + buckets)) / ((x["raw"] + 1) / (F.col("n_raw") + buckets))))).alias("ratios"))
 
 
+def score_cut(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> float:
+    """Lowest score of a kept text: the ``quantile`` of all trusted texts that pass the base rules, rounded down.
+
+    ``scored`` is a stored table. Without such a text nothing is known of good scores: minus infinity.
+    """
+    good = scored.filter("NOT base_failed").join(trusted.select("doc_id"), "doc_id", "left_semi")
+    bins = good.groupBy(F.floor(F.col("score") / _BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    at = bins.agg(F.floor(F.percentile("bin", F.lit(quantile), F.col("n"))).alias("at")).first()["at"]
+    return float("-inf") if at is None else at * _BIN
+
+
 def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+          buckets: int = BUCKETS, threshold: float | None = None) -> DataFrame:
     """doc_id, base counts, base_failed, score and kept of every row.
 
-    Null and empty texts have no words, fail the base rules and score 0. Repeated rows get
-    equal answers. With no trusted text every ratio is 0 and only the base rules decide.
+    ``threshold`` is the lowest score of a kept text, by default ``score_cut``. Null and empty
+    texts have no words, fail the base rules and score 0. Repeated rows get equal answers.
+    With no trusted text every ratio is 0 and only the base rules decide.
     """
     docs = canonical(df, id_col, text_col)
     # `buckets` numbers, folded into one constant
@@ -93,5 +107,8 @@ def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     total = F.aggregate(ngram_buckets(F.col("words"), buckets), F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
-    return base_counts(docs).withColumn("score", total / n).drop("words") \
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    scored = base_counts(docs).withColumn("score", total / n).drop("words")
+    if threshold is None:
+        scored = materialise(scored, "quality_scores")
+        threshold = score_cut(scored, trusted)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

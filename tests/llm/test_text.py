@@ -72,6 +72,17 @@ def test_quality_edge_tables(spark):
     assert all(r.score == 0 and r.kept != r.base_failed for r in out)
 
 
+def test_quality_query_separates_labels(spark):
+    from fieldspark.llm.queries import op3_quality_rules
+    sf = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    passed = [(label[r.doc_id], r.kept) for r in op3_quality_rules(spark, sf).collect()
+              if r.doc_id in label and not r.base_failed]
+    junk, good = [k for q, k in passed if q == 0], [k for q, k in passed if q == 1]
+    assert len(junk) > 20 and sum(junk) <= 0.05 * len(junk)
+    assert len(good) > 300 and sum(good) >= 0.99 * len(good)
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yo"),
     (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", "more"),
