@@ -8,8 +8,8 @@ method, a protected entity is a base value. A term near an entity discloses it w
 
 with D the number of documents, c(t) the documents that hold the term, and c(e), c(t, e)
 the *distinct* contexts of the entity (with the term): copies of a text count once on the
-entity's side, so copying alone never makes a term disclosing. Terms with fewer than
-``support`` distinct common contexts are left alone. Disclosing terms become spans of
+entity's side, so copying alone never makes a term disclosing. PMI takes the lower
+confidence bound of c(t, e) / c(t): few contexts count for less, but any number may be enough. Disclosing terms become spans of
 kind ``term`` wherever they stand near their entity. DataFrame functions only.
 """
 
@@ -23,8 +23,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "term")
 #: Code points on either side of an entity, within its line, that are its context.
 RADIUS = 120
-#: Distinct contexts a term must share with an entity.
-SUPPORT = 3
+#: Standard deviations of the lower confidence bound (one-sided 90%).
+Z = 1.2816
 #: Share of an entity's information from which a term discloses it.
 THRESHOLD = 0.8
 
@@ -123,25 +123,39 @@ def _contexts(docs: DataFrame) -> DataFrame:
         .select("doc_id", "h", "kind", "value", "context", "t.term", "t.start", "t.end")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def _spread(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(term, c_t) over all rows, and their number."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    spread = docs.select(F.explode(terms).alias("term")) \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
+    return spread, F.lit(float(docs.count()))
+
+
+def _told(d: Column, threshold: float, z: float) -> Column:
+    """Whether c_te of c_t texts tell of an entity in c_e of ``d`` texts, by Wilson's lower bound."""
+    n, zz = F.col("c_t").cast("double"), z * z
+    p = F.least("c_te", "c_t") / n
+    low = (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    ic = F.log(d / F.col("c_e"))
+    return (ic > 0) & (ic + F.log(low) >= threshold * ic)
+
+
+def disclosing(docs: DataFrame, near: DataFrame, support: int = 1, threshold: float = THRESHOLD,
+               z: float = 0.0) -> DataFrame:
     """(kind, value, term) of terms that disclose an entity; ``near`` is a stored table of contexts."""
     joint = near.select("kind", "value", "term", "context").distinct() \
         .groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= support)
     entity = near.select("kind", "value", "context").distinct() \
         .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("c_e"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    spread = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    d = F.lit(float(docs.count()))
-    ic = F.log(d / F.col("c_e"))
-    pmi = F.log(d * F.least("c_te", "c_t") / (F.col("c_t") * F.col("c_e")))
+    spread, d = _spread(docs)
     return joint.join(entity, ["kind", "value"]).join(spread, "term") \
-        .filter((ic > 0) & (pmi >= threshold * ic)).select("kind", "value", "term")
+        .filter(_told(d, threshold, z)).select("kind", "value", "term")
 
 
-def term_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def term_spans(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """(doc_id, h, terms): spans of disclosing terms of the (doc_id, h, text) rows that have any."""
     near = materialise(_contexts(docs), "pii_contexts")
-    told = disclosing(docs, near, support, threshold)
+    told = disclosing(docs, near, 1, threshold, z)
     found = near.join(told, ["kind", "value", "term"]).select("doc_id", "h", "start", "end").distinct()
     return found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
 
@@ -157,15 +171,15 @@ def _all(base: Column, terms: Column) -> Column:
     return F.concat(F.transform(base, lambda b: F.struct(b["kind"], b["start"], b["end"])), extra)
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
-         threshold: float = THRESHOLD) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+         z: float = Z) -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end>>) of every row; kinds are positions in ``KINDS``.
 
     Null and empty texts have no spans. Repeated rows get equal spans. Values compare in lower case.
     """
     docs = _keyed(df, id_col, text_col)
     base = docs.select("doc_id", "h", base_spans(F.col("text")).alias("base"))
-    rows = base.join(term_spans(docs, support, threshold), ["doc_id", "h"], "left")
+    rows = base.join(term_spans(docs, threshold, z), ["doc_id", "h"], "left")
     return rows.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
                        _all(F.col("base"), F.col("terms")).alias("spans"))
 
@@ -198,15 +212,15 @@ def _replaced(text: Column, spans: Column) -> Column:
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
-             threshold: float = THRESHOLD) -> DataFrame:
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+             z: float = Z) -> DataFrame:
     """``df`` with every span of its texts generalised to its kind, such as ``[EMAIL]``; null texts stay null.
 
     Overlapping spans become one mark, that of the first.
     """
     docs = _keyed(df, id_col, text_col)
     key, h, terms = fresh(df, "_key", "_h", "_terms")
-    found = term_spans(docs, support, threshold).select(
+    found = term_spans(docs, threshold, z).select(
         F.col("doc_id").alias(key), F.col("h").alias(h), F.col("terms").alias(terms))
     text = F.col(text_col)
     rows = df.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)),

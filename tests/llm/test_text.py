@@ -168,6 +168,19 @@ def test_disclosing_terms(spark):
     assert clean[64] == "the desk of Quxolin is [EMAIL] here"
 
 
+def _term_words(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [{texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == 4} for r in sorted(pii.find(df).collect())]
+
+
+FILLER = [f"filler {i} words stand here for a while and say nothing of note" for i in range(300)]
+
+
+def test_disclosing_terms_of_one_text(spark):
+    """A name beside its e-mail in one text is as rare as the e-mail itself."""
+    assert _term_words(spark, [*FILLER, "words of Quxolin stand here, bob@example.com"])[-1] == {"Quxolin"}
+
+
 def brute_terms(texts, support, threshold):
     near, docs = {}, Counter()
     for t in texts:
