@@ -6,7 +6,7 @@ method, a protected entity is a base value. A term near an entity discloses it w
     PMI(term, entity) / IC(entity) >= threshold,   IC(e) = log(D / c(e)),
     PMI(t, e) = log(D * c(t, e) / (c(t) * c(e)))
 
-with D the number of documents, c(t) the documents that hold the term, and c(e), c(t, e)
+with D the number of distinct texts, c(t) those that hold the term, and c(e), c(t, e)
 the *distinct* contexts of the entity (with the term): copies of a text count once on the
 entity's side, so copying alone never makes a term disclosing. PMI takes the lower
 confidence bound of c(t, e) / c(t): few contexts count for less, but any number may be enough. Disclosing terms become spans of
@@ -140,6 +140,23 @@ def _told(d: Column, threshold: float, z: float) -> Column:
     return (ic > 0) & (ic + F.log(low) >= threshold * ic)
 
 
+def _spread(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(term, c_t) over distinct texts, and their number."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    spread = docs.select("h", "text").dropDuplicates(["h"]).select(F.explode(terms).alias("term")) \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
+    return spread, F.lit(float(docs.select("h").distinct().count()))
+
+
+def _told(d: Column, threshold: float, z: float) -> Column:
+    """Whether c_te of c_t texts tell of an entity in c_e of ``d`` texts, by Wilson's lower bound."""
+    n, zz = F.col("c_t").cast("double"), z * z
+    p = F.least("c_te", "c_t") / n
+    low = (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    ic = F.log(d / F.col("c_e"))
+    return (ic > 0) & (ic + F.log(low) >= threshold * ic)
+
+
 def disclosing(docs: DataFrame, near: DataFrame, support: int = 1, threshold: float = THRESHOLD,
                z: float = 0.0) -> DataFrame:
     """(kind, value, term) of terms that disclose an entity; ``near`` is a stored table of contexts."""

@@ -181,6 +181,13 @@ def test_disclosing_terms_of_one_text(spark):
     assert _term_words(spark, [*FILLER, "words of Quxolin stand here, bob@example.com"])[-1] == {"Quxolin"}
 
 
+def test_copies_hide_no_term(spark):
+    """Copies of a supporting text count once for the term as for the entity."""
+    texts = [*FILLER, *[f"Zyxorin {'note ' * i}while ann@example.com" for i in range(3)]]
+    got = _term_words(spark, texts + [texts[-1]] * 400)
+    assert got[300:] == [{"Zyxorin"}] * 403
+
+
 def brute_terms(texts, support, threshold):
     near, docs = {}, Counter()
     for t in texts:
