@@ -1,16 +1,16 @@
 """Personal data: base spans by rule, and terms that disclose them by co-occurrence.
 
 Base kinds are found by pattern and checked (IP parts, Luhn, digit counts). For the
-method, a protected entity is a base value. A term near an entity discloses it when
+method, a protected entity is a base value. A term discloses an entity when
 
     PMI(term, entity) / IC(entity) >= threshold,   IC(e) = log(D / c(e)),
-    PMI(t, e) = log(D * c(t, e) / (c(t) * c(e)))
+    PMI(t, e) = IC(e) + log P(e | t)
 
-with D the number of distinct texts, c(t) those that hold the term, and c(e), c(t, e)
-the *distinct* contexts of the entity (with the term): copies of a text count once on the
-entity's side, so copying alone never makes a term disclosing. PMI takes the lower
-confidence bound of c(t, e) / c(t): few contexts count for less, but any number may be enough. Disclosing terms become spans of
-kind ``term`` wherever they stand near their entity. DataFrame functions only.
+with D the number of distinct texts, c(e) and c(t) those that hold the entity and the term,
+and P(e | t) the lower confidence bound of c(t, e) / c(t) texts: few texts count for less,
+but any number of them may be enough. All counts are of whole distinct texts, so copies
+change nothing. Disclosing terms become spans of kind ``term`` wherever they stand, in all
+texts. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import LAST, canonical, fresh, let, materialise
+from .line_dedup import _may_hold
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "term")
-#: Code points on either side of an entity, within its line, that are its context.
+#: Code points on either side of an entity, within its line, that are its window (``_contexts``).
 RADIUS = 120
 #: Standard deviations of the lower confidence bound (one-sided 90%).
 Z = 1.2816
@@ -93,7 +94,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """Terms beside every entity: doc_id, h, kind, value, context, term, start, end."""
+    """Terms in the window of every entity, an input of ``disclosing``; ``find`` and ``sanitise`` count whole
+    texts instead: doc_id, h, kind, value, context, term, start, end."""
     held = docs.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
     each = held.select("doc_id", "h", "text", "base", F.explode("base").alias("e"))
     low = F.greatest(F.col("e.start") - RADIUS, F.lit(0))
@@ -123,21 +125,8 @@ def _contexts(docs: DataFrame) -> DataFrame:
         .select("doc_id", "h", "kind", "value", "context", "t.term", "t.start", "t.end")
 
 
-def _spread(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """(term, c_t) over all rows, and their number."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    spread = docs.select(F.explode(terms).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    return spread, F.lit(float(docs.count()))
-
-
-def _told(d: Column, threshold: float, z: float) -> Column:
-    """Whether c_te of c_t texts tell of an entity in c_e of ``d`` texts, by Wilson's lower bound."""
-    n, zz = F.col("c_t").cast("double"), z * z
-    p = F.least("c_te", "c_t") / n
-    low = (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
-    ic = F.log(d / F.col("c_e"))
-    return (ic > 0) & (ic + F.log(low) >= threshold * ic)
+def _names(term: Column) -> Column:
+    return (F.length(term) >= 3) & term.rlike(r"\p{L}")
 
 
 def _spread(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -169,12 +158,53 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = 1, threshold: fl
         .filter(_told(d, threshold, z)).select("kind", "value", "term")
 
 
-def term_spans(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """(doc_id, h, terms): spans of disclosing terms of the (doc_id, h, text) rows that have any."""
-    near = materialise(_contexts(docs), "pii_contexts")
-    told = disclosing(docs, near, 1, threshold, z)
-    found = near.join(told, ["kind", "value", "term"]).select("doc_id", "h", "start", "end").distinct()
-    return found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
+def _apart(spans: Column, base: Column) -> Column:
+    """Spans that no base span overlaps."""
+    return F.filter(spans, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+
+def disclosing_terms(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+    """(term) of all terms that disclose some entity, counted over whole distinct texts.
+
+    Entities that stand in the same texts have the same counts with every term, so one row
+    stands for all of them: a text full of values met once costs one row per term.
+    """
+    held = docs.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
+    values = materialise(held.select("h", F.explode("base").alias("e")).select(
+        "h", F.col("e.kind").alias("kind"), F.lower("e.value").alias("value")).distinct(), "pii_values")
+    of = values.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("c_e"), F.bit_xor(F.xxhash64("h")).alias("s1"),
+                                             F.bit_xor(F.xxhash64(F.lit("2"), "h")).alias("s2"))
+    who = materialise(values.join(of, ["kind", "value"]).select("h", "s1", "s2", "c_e").distinct(), "pii_who")
+    most = who.agg(F.max("c_e")).first()[0] or 0
+    spread, d = _spread(docs)
+    # P(e | t) is at most c_e / c_t, so a term in more texts than this tells of no entity
+    def reach(c_e: Column) -> Column:
+        return F.pow(c_e.cast("double"), F.lit(threshold)) * F.pow(d, F.lit(1 - threshold)) * (1 + 1e-9)
+    rare = spread.filter(_names(F.col("term")) & (F.col("c_t") <= reach(F.lit(most))))
+    found = _apart(located(F.col("text"), TERM, F.lit(len(BASE))), F.col("base"))
+    terms = held.select("h", F.explode(F.array_distinct(F.transform(found, lambda t: F.lower(t["value"])))).alias("term")) \
+        .filter(_names(F.col("term"))).distinct()
+    return terms.join(rare, "term").join(who, "h").filter(F.col("c_t") <= reach(F.col("c_e"))) \
+        .groupBy("term", "s1", "s2", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")) \
+        .filter(_told(d, threshold, z)).select("term").distinct()
+
+
+def term_words(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+    """(doc_id, h, told): the words of the (doc_id, h, text) rows, as written, that are disclosing terms."""
+    told = materialise(disclosing_terms(docs, threshold, z), "pii_told")
+    wanted = told.select(F.xxhash64("term").alias("h1"), "term")
+    words = docs.select("doc_id", "h", F.explode(F.array_distinct(
+        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("word")).withColumn("term", F.lower("word"))
+    near = _may_hold(words.withColumn("h1", F.xxhash64("term")), wanted)
+    return near.join(wanted, ["h1", "term"]).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("word")).alias("told"))
+
+
+def _told_spans(text: Column, base: Column, told: Column) -> Column:
+    """Spans of the words ``told`` in a text, but for those inside base spans; terms hold no pattern characters."""
+    edge = r"[\p{L}\p{N}_'-]"
+    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(told, "|"), F.lit(f")(?!{edge})"))
+    found = _apart(located(text, pattern, F.lit(len(BASE))), base)
+    return F.when(told.isNotNull(), found).otherwise(F.array().cast(_SPAN))
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,23 +212,24 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
 
-def _all(base: Column, terms: Column) -> Column:
-    extra = F.transform(F.coalesce(terms, F.array().cast("array<struct<start:int,end:int>>")), lambda t: F.struct(
-        F.lit(len(BASE)).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-    return F.concat(F.transform(base, lambda b: F.struct(b["kind"], b["start"], b["end"])), extra)
+def _all(text: Column, told: Column) -> Column:
+    """(kind, start, end) of all spans of a text."""
+    def spans(base: Column) -> Column:
+        return F.transform(F.concat(base, _told_spans(text, base, told)), lambda b: F.struct(
+            b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    return let(base_spans(text), spans)
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-         z: float = Z) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end>>) of every row; kinds are positions in ``KINDS``.
 
     Null and empty texts have no spans. Repeated rows get equal spans. Values compare in lower case.
     """
     docs = _keyed(df, id_col, text_col)
-    base = docs.select("doc_id", "h", base_spans(F.col("text")).alias("base"))
-    rows = base.join(term_spans(docs, threshold, z), ["doc_id", "h"], "left")
+    rows = docs.join(term_words(docs, threshold, z), ["doc_id", "h"], "left")
     return rows.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
-                       _all(F.col("base"), F.col("terms")).alias("spans"))
+                       _all(F.col("text"), F.col("told")).alias("spans"))
 
 
 def count_of(kind: str) -> Column:
@@ -229,19 +260,19 @@ def _replaced(text: Column, spans: Column) -> Column:
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-             z: float = Z) -> DataFrame:
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """``df`` with every span of its texts generalised to its kind, such as ``[EMAIL]``; null texts stay null.
 
     Overlapping spans become one mark, that of the first.
     """
     docs = _keyed(df, id_col, text_col)
     key, h, terms = fresh(df, "_key", "_h", "_terms")
-    found = term_spans(docs, threshold, z).select(
-        F.col("doc_id").alias(key), F.col("h").alias(h), F.col("terms").alias(terms))
+    found = term_words(docs, threshold, z).select(
+        F.col("doc_id").alias(key), F.col("h").alias(h), F.col("told").alias(terms))
     text = F.col(text_col)
     rows = df.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)),
                            h: F.xxhash64(F.coalesce(text, F.lit("")))}).join(found, [key, h], "left")
-    spans = _all(base_spans(text), F.col(terms))
+    spans = _all(text, F.col(terms))
     clean = F.when(text.isNotNull(), let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(_replaced(text, s))))
     return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in df.columns])

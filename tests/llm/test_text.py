@@ -181,6 +181,14 @@ def test_disclosing_terms_of_one_text(spark):
     assert _term_words(spark, [*FILLER, "words of Quxolin stand here, bob@example.com"])[-1] == {"Quxolin"}
 
 
+def test_disclosing_terms_in_whole_texts(spark):
+    """The name is a line or a page away from its e-mail, and stands alone in another text."""
+    gap = " words stand here for a while" * 20
+    got = _term_words(spark, [*FILLER, *[f"Zyxorin\n{'note ' * i}while ann@example.com" for i in range(6)],
+                              f"Zyxorin {gap} ann@example.com", "filler of Zyxorin"])
+    assert got[300:] == [{"Zyxorin"}] * 8 and not any(got[:300])
+
+
 def test_copies_hide_no_term(spark):
     """Copies of a supporting text count once for the term as for the entity."""
     texts = [*FILLER, *[f"Zyxorin {'note ' * i}while ann@example.com" for i in range(3)]]
