@@ -39,6 +39,7 @@ PATTERNS = {
 }
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TERM = r"[\p{L}\p{N}_'-]++"
+_MARK = "\ue000"
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -163,6 +164,19 @@ def _apart(spans: Column, base: Column) -> Column:
     return F.filter(spans, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
+def _outside(text: Column, base: Column) -> Column:
+    """Terms of a text that no base span overlaps, without their places and in linear time.
+
+    A base span becomes a letter of its own, and words with that letter go. Base spans end in a term's
+    character; where one does not start with such, a space keeps the word before it whole.
+    """
+    marked = F.transform(base, lambda b: F.struct(
+        F.when(b["value"].rlike(f"^{TERM}"), 0).otherwise(1).alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    clear = _replaced(F.translate(text, _MARK, ","), marked, F.array(F.lit(_MARK), F.lit(f" {_MARK}")))
+    words = F.regexp_extract_all(F.lower(clear), F.lit(TERM.replace("_'", f"_{_MARK}'")), F.lit(0))
+    return F.filter(F.array_distinct(words), lambda w: ~F.contains(w, F.lit(_MARK)))
+
+
 def disclosing_terms(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """(term) of all terms that disclose some entity, counted over whole distinct texts.
 
@@ -181,8 +195,7 @@ def disclosing_terms(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z
     def reach(c_e: Column) -> Column:
         return F.pow(c_e.cast("double"), F.lit(threshold)) * F.pow(d, F.lit(1 - threshold)) * (1 + 1e-9)
     rare = spread.filter(_names(F.col("term")) & (F.col("c_t") <= reach(F.lit(most))))
-    found = _apart(located(F.col("text"), TERM, F.lit(len(BASE))), F.col("base"))
-    terms = held.select("h", F.explode(F.array_distinct(F.transform(found, lambda t: F.lower(t["value"])))).alias("term")) \
+    terms = held.select("h", F.explode(_outside(F.col("text"), F.col("base"))).alias("term")) \
         .filter(_names(F.col("term"))).distinct()
     return terms.join(rare, "term").join(who, "h").filter(F.col("c_t") <= reach(F.col("c_e"))) \
         .groupBy("term", "s1", "s2", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")) \
@@ -227,9 +240,13 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have no spans. Repeated rows get equal spans. Values compare in lower case.
     """
     docs = _keyed(df, id_col, text_col)
-    rows = docs.join(term_words(docs, threshold, z), ["doc_id", "h"], "left")
-    return rows.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
-                       _all(F.col("text"), F.col("told")).alias("spans"))
+    told = materialise(term_words(docs, threshold, z), "pii_words")
+    # only texts that may hold a term travel
+    some = _may_hold(docs.withColumn("h1", F.col("h")), told.select(F.col("h").alias("h1"))).join(told, ["doc_id", "h"])
+    full = some.select("doc_id", "h", _all(F.col("text"), F.col("told")).alias("full")).dropDuplicates(["doc_id", "h"])
+    base = docs.select("doc_id", "h", _all(F.col("text"), F.lit(None).cast("array<string>")).alias("base"))
+    return base.join(full, ["doc_id", "h"], "left").select(
+        F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), F.coalesce("full", "base").alias("spans"))
 
 
 def count_of(kind: str) -> Column:
@@ -247,8 +264,7 @@ def listed(spans: Column) -> Column:
         ":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _replaced(text: Column, spans: Column) -> Column:
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def _replaced(text: Column, spans: Column, names: Column) -> Column:
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -274,5 +290,6 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)),
                            h: F.xxhash64(F.coalesce(text, F.lit("")))}).join(found, [key, h], "left")
     spans = _all(text, F.col(terms))
-    clean = F.when(text.isNotNull(), let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(_replaced(text, s))))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    clean = F.when(text.isNotNull(), let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(_replaced(text, s, names))))
     return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -189,6 +189,15 @@ def test_disclosing_terms_in_whole_texts(spark):
     assert got[300:] == [{"Zyxorin"}] * 8 and not any(got[:300])
 
 
+def test_terms_outside_base_spans(spark):
+    texts = ["Ann+15551234567 x'ann@example.com é.b@c.de comé@f.gh_i 1.2.3.4-fünf", "\ue000word a@b.cd,tail", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("base", pii.base_spans(F.col("text")))
+    for r in df.withColumn("got", pii._outside(F.col("text"), F.col("base"))).collect():
+        base = brute_spans(r.text)
+        assert set(r.got) == {m[0].lower() for m in re.finditer(r"[\w'-]+", r.text)
+                              if not any(a < m.end() and m.start() < b for _, a, b in base)}
+
+
 def test_copies_hide_no_term(spark):
     """Copies of a supporting text count once for the term as for the entity."""
     texts = [*FILLER, *[f"Zyxorin {'note ' * i}while ann@example.com" for i in range(3)]]
