@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embed_dedup, lexical, line_dedup, orchard, packing, pii, quality, simhash, token_files, toxicity
+from . import bpe, chat, embed_dedup, exact_repeats, lexical, line_dedup, orchard, packing, pii, quality, simhash, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(manifest, path))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_repeats.digests(exact_repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, _ = orchard.cluster(table(spark, sf_dir, "embeddings"))
     return orchard.with_inertia(assigned)
@@ -74,7 +78,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_formatting, op2_simhash_near_dedup, op3_quality_rules, op4_byte_bpe, op5_embedding_near_dedup,
     op6_line_dedup, op7_packing, op8_pii, op9_toxicity, op10_token_files,
-    op12_centroid_clustering, op13_ranked_search)}
+    op11_suffix_array_dedup, op12_centroid_clustering, op13_ranked_search)}
 
 SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op12_centroid_clustering": orchard.SQL,
                        "op13_ranked_search": lexical.SQL}
