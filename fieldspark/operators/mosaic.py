@@ -8,6 +8,44 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geo import hann
 
+# What stops a merge, what only deserves a warning, and how close resolutions must be.
+MUST_AGREE = ("crs", "bands", "dtype")
+SHOULD_AGREE = ("res", "nodata", "band_names")
+RES_RTOL, RES_ATOL = 1e-5, 1e-8
+
+
+def input_mismatches(metadata: DataFrame, name: str = "file") -> DataFrame:
+    """(file, property, severity, found, expected) where a raster differs from the first one by name.
+
+    ``metadata`` has one row per raster with ``crs, bands, dtype, res, nodata, band_names``.
+    Other CRS, band counts or types are errors; resolution, nodata and band names warnings.
+    """
+    first = metadata.agg(*[F.min_by(c, name).alias(c) for c in (*MUST_AGREE, *SHOULD_AGREE)]).first()
+    if first is None:
+        return metadata.select(name).limit(0)
+    tests = []
+    for c in (*MUST_AGREE, *SHOULD_AGREE):
+        value = F.lit(first[c]).cast(metadata.schema[c].dataType)
+        differs = ~F.col(c).eqNullSafe(value)
+        if c == "res":
+            differs = F.when(F.col(c).isNotNull() & value.isNotNull(),
+                             F.abs(F.col(c) - value) > RES_ATOL + RES_RTOL * F.abs(value)).otherwise(differs)
+        shown = [F.concat_ws(",", x) if c == "band_names" else x.cast("string") for x in (F.col(c), value)]
+        tests.append(F.when(differs, F.struct(
+            F.lit(c).alias("property"), F.lit("error" if c in MUST_AGREE else "warning").alias("severity"),
+            shown[0].alias("found"), shown[1].alias("expected"))))
+    hits = F.filter(F.array(*tests), lambda t: t.isNotNull())
+    return metadata.select(name, F.explode(hits).alias("_m")).select(name, "_m.*")
+
+
+def require_compatible(metadata: DataFrame, name: str = "file") -> DataFrame:
+    """The warnings of ``input_mismatches``; an error there is raised with its first example."""
+    found = input_mismatches(metadata, name)
+    worst = found.filter("severity = 'error'").orderBy("property", name).first()
+    if worst is not None:
+        raise ValueError(f"{worst[name]}: {worst['property']} is {worst['found']}, expected {worst['expected']}")
+    return found
+
 
 def overlap(df: DataFrame, keys: Sequence[str], value: str, source: str,
             method: str = "first") -> DataFrame:

@@ -79,3 +79,25 @@ def integrity_report(checked: DataFrame, file: str, sample: str) -> DataFrame:
     return per_chip.groupBy(file).agg(
         F.sum("n").alias("window_reads"), F.sum("b").alias("bad_reads"),
         F.count(F.when(F.col("b") > 0, 1)).alias("affected_chips"))
+
+
+def planned_report(reads: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """Per file of a windowed scan: its state, planned and bad reads, their share, chips they hit.
+
+    A file that is missing or unreadable counts as one finding; its windows are not bad reads.
+    """
+    bad = F.col("status") == "corrupt"
+    per_chip = reads.groupBy("file", sample).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("b"),
+        F.bool_or(F.col("status") == "missing").alias("gone"), F.bool_or(F.col("status") == "unreadable").alias("shut"))
+    out = per_chip.groupBy("file").agg(
+        F.sum("n").alias("window_reads"), F.sum("b").alias("bad_reads"), F.count(F.when(F.col("b") > 0, 1)).alias("affected_chips"),
+        F.bool_or("gone").alias("gone"), F.bool_or("shut").alias("shut"))
+    state = F.when(F.col("gone"), "missing").when(F.col("shut"), "unreadable").when(F.col("bad_reads") > 0, "corrupt").otherwise("ok")
+    return out.select("file", state.alias("state"), "window_reads", "bad_reads",
+                      (F.lit(100.0) * F.col("bad_reads") / F.col("window_reads")).alias("bad_pct"), "affected_chips")
+
+
+def affected_samples(reads: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """Distinct chips with a corrupt window, with the number of files in which it is: the list to exclude."""
+    return reads.filter(F.col("status") == "corrupt").groupBy(sample).agg(F.countDistinct("file").alias("files"))

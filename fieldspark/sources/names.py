@@ -42,3 +42,12 @@ def inventory_gaps(expected: DataFrame, found: DataFrame) -> DataFrame:
         .withColumn("has_label", F.coalesce("has_label", F.lit(False))) \
         .withColumn("has_mask", F.coalesce("has_mask", F.lit(False)))
     return j.filter(~(F.col("has_label") & F.col("has_mask")))
+
+
+def sample_metadata(metadata: DataFrame) -> DataFrame:
+    """Metadata of one sample raster per kind (label, mask): the first of its kind by path."""
+    name = F.substring_index("file", "/", -1)
+    kind = F.when(name.rlike(LABEL_NAME), "label").when(name.rlike(MASK_NAME), "mask")
+    rest = [c for c in metadata.columns if c != "file"]
+    tagged = metadata.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    return tagged.groupBy("kind").agg(F.min("file").alias("file"), *[F.min_by(c, "file").alias(c) for c in rest])
