@@ -40,7 +40,7 @@ SLICE = 256
 #: Different blocks under one core before its windows are dealt by their bytes.
 CROWD = 4096
 #: Bytes ordered at once; a group beyond twice that is reduced to its different windows first.
-RUN = 1 << 19
+RUN = 1 << 18
 #: Bitmap of documents: so many buckets of 4 KB.
 BUCKETS = 1024
 
@@ -170,9 +170,12 @@ def _verdicts(anchored: DataFrame) -> DataFrame:
         F.when(~gone, F.col("core")).alias("core"), F.when(~gone, F.col("crowd")).alias("crowd"))
 
 
-def _bytes_of(width: int, crowd: int):
-    """Bytes of the wanted blocks; those of crowded cores window by window, dealt by content."""
-    digest = xxhash.xxh64_intdigest
+def _bytes_of(width: int, gram: int, crowd: int, limit: int):
+    """Bytes of the wanted blocks; those of crowded cores window by window, dealt by content.
+
+    A core's windows are dealt so that the different ones of a place have ``limit`` bytes or so.
+    """
+    digest, most = xxhash.xxh64_intdigest, width * (width - gram + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +188,7 @@ def _bytes_of(width: int, crowd: int):
                         if w["crowd"] <= crowd:
                             out.append((core, 0, doc, h, start, data[start:end]))
                             continue
-                        deal = -(-w["crowd"] // crowd)
+                        deal = -(-w["crowd"] * most // limit)
                         for p in range(start, end - width + 1):
                             window = data[p:p + width]
                             out.append((core, 1 + digest(window) % deal, doc, h, p, window))
@@ -297,7 +300,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     wanted = materialise(verdicts.filter("core IS NOT NULL").groupBy("doc", "h").agg(
         F.collect_set(F.struct("core", "start", "end", "crowd")).alias("wanted")), "blocks_wanted")
     texts = _listed(docs, wanted).filter("listed").join(wanted, ["doc", "h"]).select("doc", "h", "text", "wanted")
-    dealt = texts.mapInArrow(_bytes_of(width, crowd), "core long, deal long, doc long, h long, start long, bytes binary")
+    dealt = texts.mapInArrow(_bytes_of(width, gram, crowd, run), "core long, deal long, doc long, h long, start long, bytes binary")
     compared = dealt.repartition("core", "deal").sortWithinPartitions("core", "deal", "doc", "h", "start") \
         .mapInArrow(_repeats(width, run), _SPAN)
     return materialise(verdicts.filter("core IS NULL").select("doc", "h", "start", "end").union(compared), "repeated_spans")
