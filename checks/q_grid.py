@@ -27,7 +27,7 @@ def _centres(spark, d):
        f"""SELECT "row", col, {R('max_by(k, k) * 1.5')} AS value, max_by(name, k) AS name FROM hits WHERE k <> 7 GROUP BY 1, 2""")
 def j03(spark, d):
     s = fx.shapes(spark, d).withColumn("value", F.when(F.col("shape_order") != 7, F.col("shape_order") * 1.5)).withColumnRenamed("NAME", "name")
-    return rounded(spatial.burn(_centres(spark, d), s, "value", ["row", "col"], 32.0, extra=["name"]), "value")
+    return rounded(spatial.burn(_centres(spark, d), s, "value", ["row", "col"], extra=["name"]), "value")
 
 
 @check("A35_alignment_audit", with_("pixel", "edges", px=_PX, hits=_HITS, inside='SELECT DISTINCT "row", col FROM hits') +
@@ -35,7 +35,7 @@ def j03(spark, d):
  {R('min(p.col + 0.5)')} AS "left", {R('max(p.col + 0.5)')} AS "right", {R('min(p."row" + 0.5)')} AS bottom, {R('max(p."row" + 0.5)')} AS top
  FROM pixel p LEFT JOIN inside i ON p."row" = i."row" AND p.col = i.col GROUP BY 1""")
 def a35(spark, d):
-    burned = spatial.burn(_centres(spark, d), fx.shapes(spark, d), "shape_order", ["row", "col"], 32.0, order="shape_order")
+    burned = spatial.burn(_centres(spark, d), fx.shapes(spark, d), "shape_order", ["row", "col"], order="shape_order")
     p = fx.pixel(spark, d).join(burned, ["row", "col"], "left") \
         .withColumn("x", F.col("col") + 0.5).withColumn("y", F.col("row") + 0.5)
     return rounded(spatial.alignment_audit(p, F.col("shape_order").isNotNull(), ["year"]), "left", "right", "bottom", "top")
@@ -214,8 +214,8 @@ def j09(spark, d):
 def t04(spark, d):
     grids = _label_grids(spark, d)
     m = manifest.build_manifest(grids, "soybeans", "nearest", 64, 64)
-    crop = fx.pixel(spark, d).filter("crop_mask").select("state", "year", "row", "col").distinct()
-    crop = spatial.clip_to_region(crop, fx.shapes(spark, d), 32.0, F.col("col") + 0.5, F.col("row") + 0.5)
+    crop = fx.pixel(spark, d).filter("crop_mask").select("state", "year", "row", "col")
+    crop = spatial.clip_to_region(crop, fx.shapes(spark, d), F.col("col") + 0.5, F.col("row") + 0.5).distinct()
     label, mask = _two_grids(spark, d)
     on_label = grid.shift_to(crop, grid.grid_offset(mask, label, ["state"]), ["state"]).filter("col >= 0").withColumn("crop_mask", F.lit(True))
     out = m.filter("row_off = 64 and year % 2 = 0").select("sample_id")
@@ -266,7 +266,7 @@ def t08(spark, d):
     y = materialise(fx.county_yield(spark, d).filter("year = 1999 and county_fips <> '00007'").select(F.col("county_fips").alias("GEOID"), F.col("yield_bu_ac").alias("v")), "yield")
     s = fx.shapes(spark, d)
     g = {"a": 1.0, "e": 1.0, "c": 0.0, "f": 0.0, "height": 512, "width": 512}
-    return rounded(labels.label_surfaces(crop, s.join(y, "GEOID"), s, "v", g, 32.0, coarse_res=42), "nearest", "bilinear")
+    return rounded(labels.label_surfaces(crop, s.join(y, "GEOID"), s, "v", g, coarse_res=42), "nearest", "bilinear")
 
 
 @check("T09_covering_window", """SELECT s_suppkey, CAST(floor((2000000 - (1990000 + s_suppkey * 11.5::DOUBLE)) / 30) AS INTEGER) AS row_off, CAST(floor((s_suppkey * 13.25::DOUBLE + 500100 - 500000) / 30) AS INTEGER) AS col_off,

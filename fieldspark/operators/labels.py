@@ -26,7 +26,7 @@ def coarse_grid(grid: dict[str, float], coarse_res: float) -> dict[str, float]:
 
 
 def label_surfaces(crop_pixels: DataFrame, with_yield: DataFrame, all_shapes: DataFrame, value: str,
-                   grid: dict[str, float], cell: float, coarse_res: float = COARSE_RES_M) -> DataFrame:
+                   grid: dict[str, float], coarse_res: float = COARSE_RES_M) -> DataFrame:
     """Nearest and bilinear labels of the crop pixels (row, col) inside the region outline.
 
     The outline comes from all shapes, not only those with a yield. Pixels outside it get
@@ -34,14 +34,14 @@ def label_surfaces(crop_pixels: DataFrame, with_yield: DataFrame, all_shapes: Da
     """
     spark = crop_pixels.sparkSession
     pts = with_centres(crop_pixels.select("row", "col").distinct(), grid)
-    outline = burn(pts, all_shapes.withColumn("_in", F.lit(1)), "_in", ["row", "col"], cell)
-    nearest = burn(pts, with_yield, value, ["row", "col"], cell).withColumnRenamed(value, "nearest")
+    outline = burn(pts, all_shapes.withColumn("_in", F.lit(1)), "_in", ["row", "col"])
+    nearest = burn(pts, with_yield, value, ["row", "col"]).withColumnRenamed(value, "nearest")
 
     low = coarse_grid(grid, coarse_res)
     n = int(low["height"] * low["width"])
     squares = spark.range(n).select(F.expr(f"cast(id div {int(low['width'])} as int)").alias("row"),
                                     (F.col("id") % int(low["width"])).cast("int").alias("col"))
-    blocks = burn(with_centres(squares, low), with_yield, value, ["row", "col"], cell)
+    blocks = burn(with_centres(squares, low), with_yield, value, ["row", "col"])
     pair = {f"t_{k}": float(grid[k]) for k in "aecf"} | {f"s_{k}": float(low[k]) for k in "aecf"}
     grids = spark.range(1).select(F.lit(1).alias("_g"), *[F.lit(v).alias(k) for k, v in pair.items()])
     smooth = regrid_bilinear(outline.select(F.lit(1).alias("_g"), "row", "col"),

@@ -258,7 +258,7 @@ SHAPE = "shape_order int, value double, rings array<array<struct<x:double,y:doub
 def test_shared_edge_has_one_owner_and_later_shape_wins(spark):
     s = spark.createDataFrame([(0, 1.0, square(0., 0., 5.5, 10.)), (1, 2.0, square(5.5, 0., 10., 10.)), (2, 3.0, square(2., 2., 4., 4.)), (3, None, square(0., 0., 10., 10.)), (4, 9.0, None)], SHAPE)
     pts = spark.range(100).select((F.col("id") % 10 + 0.5).alias("x"), (F.floor(F.col("id") / 10) + 0.5).alias("y"))
-    got = {(r["x"], r["y"]): r["value"] for r in spatial.burn(pts, s, "value", ["x", "y"], 3.0).collect()}
+    got = {(r["x"], r["y"]): r["value"] for r in spatial.burn(pts, s, "value", ["x", "y"]).collect()}
     assert len(got) == 100
     for (x, y), v in got.items():
         assert v == (3.0 if 2 < x < 4 and 2 < y < 4 else 1.0 if x < 5.5 else 2.0)
@@ -268,7 +268,7 @@ def test_holes_and_concave_shapes(spark):
     ring = [square(0., 0., 10., 10.)[0], square(3., 3., 7., 7.)[0]]
     s = spark.createDataFrame([(0, 1.0, ring)], SHAPE)
     pts = spark.range(100).select((F.col("id") % 10 + 0.5).alias("x"), (F.floor(F.col("id") / 10) + 0.5).alias("y"))
-    assert spatial.burn(pts, s, "value", ["x", "y"], 4.0).count() == 100 - 16
+    assert spatial.burn(pts, s, "value", ["x", "y"]).count() == 100 - 16
 
 
 def test_bilinear_reproduces_a_plane_and_skips_missing(spark):
@@ -381,7 +381,7 @@ def test_stored_chips_are_decoded(spark, tmp_path):
 def test_label_surfaces_stay_inside_and_blend(spark):
     s = spark.createDataFrame([(0, 10.0, square(0., 0., 32., 64.)), (1, 20.0, square(32., 0., 64., 64.))], SHAPE)
     px = spark.range(70 * 70).select(F.expr("cast(id div 70 as int)").alias("row"), (F.col("id") % 70).cast("int").alias("col"))
-    out = labels.label_surfaces(px, s, s, "value", {"a": 1.0, "e": 1.0, "c": 0.0, "f": 0.0, "height": 64, "width": 64}, 16.0, coarse_res=8).toPandas()
+    out = labels.label_surfaces(px, s, s, "value", {"a": 1.0, "e": 1.0, "c": 0.0, "f": 0.0, "height": 64, "width": 64}, coarse_res=8).toPandas()
     assert len(out) == 64 * 64 and set(out.nearest) == {10.0, 20.0}
     assert out.bilinear.between(10, 20).all() and out[(out.col > 29) & (out.col < 34)].bilinear.between(10.01, 19.99).all()
 

@@ -55,7 +55,7 @@ def test_groups_are_reduced_before_the_shuffle(pixels, build):
 def test_burn_is_a_hash_aggregate_behind_a_broadcast(spark, pixels):
     from checks import fixtures as fx
     pts = pixels.select("row", "col").distinct().withColumn("x", F.col("col") + 0.5).withColumn("y", F.col("row") + 0.5)
-    text = plan(spatial.burn(pts, fx.shapes(spark, SF), "shape_order", ["row", "col"], 32.0))
+    text = plan(spatial.burn(pts, fx.shapes(spark, SF), "shape_order", ["row", "col"]))
     assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "NestedLoop" not in text
     assert "SortAggregate" not in text
 
@@ -69,6 +69,6 @@ def test_no_query_uses_a_cross_product(spark):
 
 def test_region_clip_lists_no_positions(spark, pixels):
     from checks import fixtures as fx
-    text = plan(spatial.clip_to_region(pixels, fx.shapes(spark, SF), 32.0, F.col("col") + 0.5, F.col("row") + 0.5))
-    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+    text = plan(spatial.clip_to_region(pixels, fx.shapes(spark, SF), F.col("col") + 0.5, F.col("row") + 0.5))
+    assert "BroadcastHashJoin" in text and ("ExistenceJoin" in text or "LeftSemi" in text)
     assert "HashAggregate" not in text and "hashpartitioning" not in text and "NestedLoop" not in text
