@@ -156,10 +156,13 @@ def a22(spark, d):
     return rounded(out, *out.columns)
 
 
+_POISSON = ", ".join(repr(p) for p in metrics.POISSON_ONE)
+
+
 @check("A23_group_bootstrap", with_("predictions", g="SELECT sample_id, sqrt(avg((pred - target) ** 2)) AS rmse FROM predictions GROUP BY 1",
-       p="SELECT rmse, row_number() OVER (ORDER BY substr(md5(sample_id), 1, 2), sample_id) - 1 AS i, count(*) OVER () AS sz FROM g",
-       dr="SELECT id // sz AS rep, CAST('0x' || substr(md5('11|' || CAST(id AS VARCHAR)), 1, 12) AS BIGINT) % sz AS i FROM (SELECT sz, unnest(range(500 * sz)) AS id FROM (SELECT DISTINCT sz FROM p))",
-       st="SELECT rep, avg(rmse) AS s FROM dr JOIN p USING (i) GROUP BY 1") +
+       dr="SELECT *, CAST(CAST('0x' || substr(md5('11|' || CAST(rep AS VARCHAR) || '|' || sample_id), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS u FROM (SELECT *, unnest(range(500)) AS rep FROM g)",
+       w=f"SELECT rep, rmse, len([p for p in [{_POISSON}]::DOUBLE[] if u >= p]) AS w FROM dr",
+       st="SELECT rep, sum(w * rmse) / sum(w) AS s FROM w GROUP BY 1") +
        f"SELECT {R('avg(s)')} AS mean, {R('quantile_cont(s, 0.025)')} AS lo, {R('quantile_cont(s, 0.975)')} AS hi, count(*) AS n_boot FROM st")
 def a23(spark, d):
     return rounded(metrics.bootstrap_ci(fx.predictions(spark, d), "sample_id", n_boot=500, seed=11), "mean", "lo", "hi")

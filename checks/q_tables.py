@@ -148,7 +148,7 @@ def w06b(spark, d):
 @check("W07_dense_county_index", """SELECT g AS geoid, row_number() OVER (ORDER BY g) AS county_idx FROM (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS g FROM customer)""")
 def w07(spark, d):
     g = fx.table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("geoid")).distinct()
-    return dense_index(g, F.substring("geoid", 1, 6), ["geoid"], "county_idx")
+    return dense_index(g, ["geoid"], "county_idx")
 
 
 @check("Tk1_order_scenes", with_("scenes") + "SELECT id, event_id, CAST(ts AS VARCHAR) AS ts FROM scenes ORDER BY ts, id")

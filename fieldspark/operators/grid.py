@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import CHIP
@@ -95,28 +97,58 @@ def regrid_nearest(targets: DataFrame, source: DataFrame, grids: DataFrame, keys
     return placed.drop(*grid_cols).join(src, [*keys, "_sr", "_sc"], "left").drop("_sr", "_sc")
 
 
+#: Rows and columns of a source block.
+BLOCK = 256
+
+
 def regrid_bilinear(targets: DataFrame, source: DataFrame, grids: DataFrame, keys: list[str],
-                    value: str) -> DataFrame:
+                    value: str, block: int = BLOCK) -> DataFrame:
     """Bilinear mean of the four nearest source centres, renormalised over valid ones.
 
-    ``targets`` has one row per (keys, row, col).
+    ``targets`` and ``source`` have one row per (keys, row, col). The source is cut into
+    blocks that also hold the first row and column of their neighbours, so the four centres of
+    a target lie in one block: each target moves once, each source pixel once plus the borders,
+    and the stencil is evaluated on the block's array.
     """
     r, c = source_position(grids)
     placed = sized_join(targets.select(*keys, "row", "col"), grids, keys).select(
-        *keys, "row", "col", (r - 0.5).alias("_r"), (c - 0.5).alias("_c"))
-    r0, c0 = F.floor("_r").cast("int"), F.floor("_c").cast("int")
-    fr, fc = F.col("_r") - F.floor("_r"), F.col("_c") - F.floor("_c")
-    corners = F.explode(F.array(*[
-        F.struct((r0 + i).alias("_sr"), (c0 + j).alias("_sc"),
-                 ((fr if i else 1 - fr) * (fc if j else 1 - fc)).alias("_w"))
-        for i in (0, 1) for j in (0, 1)])).alias("_k")
-    near = placed.select(*keys, "row", "col", corners).select(*keys, "row", "col", "_k.*").filter("_w > 0")
-    src = source.filter(F.col(value).isNotNull()).select(
-        *keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), F.col(value).alias("_v"))
-    hit = near.join(src, [*keys, "_sr", "_sc"], "left")
-    w = F.when(F.col("_v").isNotNull(), F.col("_w"))
-    return hit.groupBy(*keys, "row", "col").agg(
-        F.try_divide(F.sum(w * F.col("_v")), F.sum(w)).alias(value))
+        *keys, "row", "col", (r - 0.5).alias("_r"), (c - 0.5).alias("_c")) \
+        .withColumns({"_br": F.floor(F.floor("_r") / block), "_bc": F.floor(F.floor("_c") / block)})
+
+    def homes(at: str) -> Column:
+        own = F.floor(F.col(at) / block)
+        return F.explode(F.when(F.col(at) % block == 0, F.array(own, own - 1)).otherwise(F.array(own)))
+
+    # names of their own, since both sides may come from one table
+    pixels = source.filter(F.col(value).isNotNull()).select(
+        *[F.col(k).alias(f"_s_{k}") for k in keys], F.col("row").cast("long").alias("_sr"), F.col("col").cast("long").alias("_sc"), F.col(value).cast("double").alias("_v"))
+    pixels = pixels.withColumn("_sbr", homes("_sr")).withColumn("_sbc", homes("_sc"))
+    kept = placed.select(*keys, "row", "col").schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{value}` double"
+
+    def stencil(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if t.empty:
+            return t[[*keys, "row", "col"]].assign(**{value: np.empty(0)})
+        r0, c0 = int(t["_br"].iloc[0]) * block, int(t["_bc"].iloc[0]) * block
+        area = np.full((block + 1, block + 1), np.nan)
+        area[s["_sr"].to_numpy() - r0, s["_sc"].to_numpy() - c0] = s["_v"].to_numpy()
+        y, x = t["_r"].to_numpy(), t["_c"].to_numpy()
+        i, j = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+        fy, fx = y - i, x - j
+        total, weight = np.zeros(len(t)), np.zeros(len(t))
+        for di in (0, 1):
+            for dj in (0, 1):
+                v = area[i - r0 + di, j - c0 + dj]
+                w = np.where(np.isnan(v), 0.0, (fy if di else 1 - fy) * (fx if dj else 1 - fx))
+                total += np.where(w > 0, w * np.nan_to_num(v), 0.0)
+                weight += w
+        out = t[[*keys, "row", "col"]].copy()
+        mean = np.divide(total, weight, out=np.zeros(len(t)), where=weight > 0)
+        out[value] = pd.array(mean, dtype="Float64")
+        out.loc[weight == 0, value] = pd.NA
+        return out
+    return placed.groupBy(*keys, "_br", "_bc").cogroup(pixels.groupBy(*[f"_s_{k}" for k in keys], "_sbr", "_sbc")) \
+        .applyInPandas(stencil, schema)
 
 
 def county_boxes(pixels: DataFrame, keys: list[str], county: str = "county_fips") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import ratio
-from ..plans import dense_index, grouped_percentiles, materialise, sized_join
+from ..plans import grouped_percentiles, materialise, sized_join
 
 METRICS = ("n", "mae", "rmse", "bias", "r2", "pearson_r", "pearson_r2", "pct_mae")
 
@@ -106,24 +108,26 @@ def chip_metrics(df: DataFrame, keys: Sequence[str] = ("sample_id", "state", "ye
                       *[F.col(m).alias(f"chip_{m}") for m in METRICS])
 
 
+# P(X <= k) of the Poisson distribution with mean one, k = 0..15.
+POISSON_ONE = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(16))
+
+
 def bootstrap_ci(df: DataFrame, group: str, metric: str = "rmse", n_boot: int = 1000, seed: int = 0,
                  alpha: float = 0.05) -> DataFrame:
     """Mean and percentile interval of a metric under resampling of whole groups.
 
-    Every replicate draws as many groups as there are, with replacement, from a hash of
-    (seed, draw number), so the result does not depend on partitioning.
+    In every replicate a group counts as often as a Poisson(1) draw from a hash of (seed,
+    replicate, group), the form of resampling with replacement that needs no common
+    numbering: groups are neither indexed nor joined with draws, and each task sends one
+    pair of sums per replicate. The result does not depend on partitioning.
     """
-    spark = df.sparkSession
-    per = regression_metrics(df, [group]).select(group, metric)
-    # hash buckets keep the numbering spread over many tasks whatever the group names are
-    bucket = F.substring(F.md5(F.col(group).cast("string")), 1, 2)
-    per = materialise(dense_index(per, bucket, [group], "_i", start=0).select("_i", metric), "bootstrap_groups")
-    size = per.count()
-    draws = spark.range(n_boot * size).select(
-        F.expr(f"id div {max(size, 1)}").alias("rep"),
-        (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10)
-         .cast("long") % max(size, 1)).alias("_i"))
-    stat = sized_join(draws, per, ["_i"], written=True).groupBy("rep").agg(F.avg(metric).alias("stat"))
+    per = regression_metrics(df, [group]).select(F.col(group).cast("string").alias("_g"), F.col(metric).alias("_m"))
+    drawn = per.filter(F.col("_m").isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), "_g"))
+    u = F.conv(F.substring(text, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
+    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_ONE), F.lit(0))
+    stat = drawn.withColumn("_w", times).groupBy("rep").agg(
+        F.try_divide(F.sum(F.col("_w") * F.col("_m")), F.sum("_w")).alias("stat"))
     # n_boot rows from here on
     return stat.agg(F.avg("stat").alias("mean"), F.percentile("stat", F.lit(alpha / 2)).alias("lo"),
                     F.percentile("stat", F.lit(1 - alpha / 2)).alias("hi"), F.count(F.lit(1)).alias("n_boot"))

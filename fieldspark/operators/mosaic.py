@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geo import hann
+from ..plans import materialise, sized_join
+from ..plans.quantiles import order_key
 
 # What stops a merge, what only deserves a warning, and how close resolutions must be.
 MUST_AGREE = ("crs", "bands", "dtype")
@@ -54,11 +56,16 @@ def overlap(df: DataFrame, keys: Sequence[str], value: str, source: str,
     ``first``/``last`` follow source-name order and keep the winning source.
     """
     valid = df.filter(F.col(value).isNotNull())
-    order = F.struct(F.col(source), F.col(value))
     if method in ("first", "last"):
+        # a row per source
+        ranks = materialise(valid.select(source).distinct().withColumn(
+            "_rank", F.row_number().over(Window.orderBy(source))), "source_ranks")
+        # rank and value in one fixed-width number, so that both aggregates are hash aggregates
+        order = F.col("_rank").cast("decimal(38,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + order_key(F.col(value)).cast("decimal(20,0)")
+        ranked = sized_join(valid.select(*keys, value, source), ranks, [source], written=True).withColumn("_order", order)
         pick = F.min_by if method == "first" else F.max_by
-        out = valid.groupBy(*keys).agg(pick(F.struct(F.col(value), F.col(source)), order).alias("_w"))
-        return out.select(*keys, F.col("_w")[value].alias(value), F.col("_w")[source].alias(source))
+        out = ranked.groupBy(*keys).agg(pick(value, "_order").alias(value), pick("_rank", "_order").alias("_rank"))
+        return sized_join(out, ranks, ["_rank"], written=True).select(*keys, value, source)
     plain = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "mean": F.avg}
     if method not in plain:
         raise ValueError(f"unknown merge method {method!r}")

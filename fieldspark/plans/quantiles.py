@@ -1,9 +1,11 @@
-"""Exact, linearly interpolated percentiles per group.
-
-Spark's ``percentile`` keeps every distinct value of a group in one task. That
-is right for groups of checked size. The rows of larger groups, and only theirs, are
-routed to ranges cut by an approximate sketch, ranges are counted, and only the ranges
-that hold a wanted position are ranked; the result is exact either way.
+"""Exact, linearly interpolated percentiles per group by radix selection.
+
+Values get a 64-bit key that keeps their order (the bits of the double, by arithmetic, so that
+it stays in generated code). Rows are counted per group and first digit; only those whose
+digit holds a wanted position go on, reduced to (key, count), to the next digits. Every step
+is a hash aggregate with map-side reduction, the plan is the same for small groups and
+large ones, and no task buffers the values of a group: what is ranked together are the
+digits of one group, 2^24 at most.
 """
 
 from __future__ import annotations
@@ -12,109 +14,78 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import sized_join
 from .shared import materialise
 
-#: Groups up to this many rows use the built-in aggregate.
-GROUP_LIMIT = 2_000_000
-_COARSE = 32
-_FINE = 32
+#: Bits below the first and the second digit.
+_LOW1, _LOW2 = 48, 24
+
+
+def order_key(value: Column) -> Column:
+    """A long with the order of a double: -inf < ... < -0.0 = 0.0 < ... < inf < NaN."""
+    v = F.abs(value.cast("double"))
+    guess = F.floor(F.log2(v))
+    power = guess + F.when(F.pow(F.lit(2.0), guess + 1) <= v, 1).when(F.pow(F.lit(2.0), guess) > v, -1).otherwise(0)
+    normal = ((power + 1023) * F.lit(1 << 52) + ((v * F.pow(F.lit(2.0), -power) - 1) * F.lit(2.0 ** 52)).cast("long"))
+    bits = F.when(F.isnan(v), F.lit((2047 << 52) + 1)).when(v == float("inf"), F.lit(2047 << 52)) \
+        .when(v < 2.0 ** -1022, (v * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")).otherwise(normal)
+    return F.when(value < 0, -bits).otherwise(bits).cast("long")
+
+
+def _placed(counted: DataFrame, group: list[str], by: str, asks: DataFrame, digit: str) -> DataFrame:
+    """Asks (group, _out, _rank, _w) with the digit that holds their rank, counted from its start."""
+    before = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    laid = counted.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    hit = laid.join(asks, group).filter((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_n")))
+    return hit.select(*group, F.col(by).alias(digit), "_out", (F.col("_rank") - F.col("_off")).alias("_rank"), "_w",
+                      *[c for c in counted.columns if c == "_v"])
 
 
 def grouped_percentiles(df: DataFrame, keys: Sequence[str],
                         wanted: Mapping[str, tuple[str, float]],
-                        also: Sequence[Column] = (), group_limit: int = GROUP_LIMIT,
-                        bounded: bool = False) -> DataFrame:
+                        also: Sequence[Column] = (), bounded: bool = False) -> DataFrame:
     """One row per group with ``wanted[out] = (value column, fraction)``.
 
     NULL values are ignored; a group without values has NULL percentiles. ``also`` are
-    further aggregates of ``df``, computed in the same pass where possible. ``bounded``
-    says that groups are small by construction, such as one row per scene and pixel, so
-    that none has to be counted.
+    further aggregates of ``df``. ``bounded`` says that groups are small by construction,
+    such as one row per scene and pixel; then the built-in aggregate holds their values.
     """
     keys, also = list(keys), list(also)
-    plain = [F.percentile(F.col(c), F.lit(p)).alias(out) for out, (c, p) in wanted.items()]
     if bounded:
-        return df.groupBy(*keys).agg(*also, *plain)
-    values = sorted({c for c, _ in wanted.values()})
-    slim = df.select(*keys, *values)
-    # counts are reduced map-side: one row per group and task moves
-    large = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > group_limit)
-    large = materialise(large.withColumn("_group", F.monotonically_increasing_id()).drop("_rows"), "large_groups")
-    if large.isEmpty():
-        return df.groupBy(*keys).agg(*also, *plain)
-    if not keys:
-        found = _by_ranges(slim, keys, values, wanted).first()
-        return df.agg(F.count(F.lit(1)).alias("_n"), *also) \
-            .withColumns({out: F.lit(found[out]).cast("double") for out in wanted}).drop("_n")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"_s.{k}").eqNullSafe(F.col(f"_l.{k}"))
-    small = df.alias("_s").join(large.alias("_l"), same, "left_anti").groupBy(*keys).agg(*also, *plain)
-    # large groups go by number from here, so that a NULL key is a key like any other
-    hot = df.alias("_s").join(large.alias("_l"), same).select("_group", *[F.col(f"_s.{c}").alias(c) for c in df.columns])
-    ranked = large.join(_by_ranges(hot.select("_group", *values), ["_group"], values, wanted), "_group")
-    if also:
-        ranked = ranked.join(hot.groupBy("_group").agg(*also), "_group")
-    return small.unionByName(ranked.drop("_group"))
-
-
-def _by_ranges(slim: DataFrame, keys: list[str], values: list[str],
-               wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
-    long = slim.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in values
-    ])).alias("_e")).select(*keys, "_e._name", "_e._v").filter(F.col("_v").isNotNull())
-    group = [*keys, "_name"]
-    ranges = _COARSE * _FINE
-    cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    sketch = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", cuts, F.lit(10 * ranges)).alias("_cut"))
-    sketch = materialise(sketch.withColumn(
-        "_coarse", F.transform(F.sequence(F.lit(1), F.lit(_COARSE - 1)),
-                               lambda i: F.element_at("_cut", i * _FINE))), "quantile_cuts")
-
-    def below(cut, v):
-        return F.size(F.filter(cut, lambda c: c < v))
-
-    tagged = sized_join(long, sketch.select(*group, "_cut", "_coarse"), group, written=True)
-    tagged = (tagged.withColumn("_c", below(F.col("_coarse"), F.col("_v")))
-              .withColumn("_b", F.col("_c") * _FINE + below(
-                  F.slice("_cut", F.col("_c") * _FINE + 1, F.lit(_FINE - 1)), F.col("_v")))
-              .select(*group, "_v", "_b"))
-
-    # at most `ranges` rows per group from here on
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = tagged.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_k"))
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-
-    asks = F.explode(F.array(*[
-        F.struct(F.lit(out).alias("_out"), F.lit(c).alias("_name"), F.lit(float(p)).alias("_p"))
-        for out, (c, p) in wanted.items()])).alias("_a")
-    pos = sketch.select(*keys, F.col("_name").alias("_g"), "_n", asks) \
-        .filter(F.col("_a._name") == F.col("_g")) \
-        .select(*keys, F.col("_g").alias("_name"), "_a._out",
-                (F.col("_a._p") * (F.col("_n") - 1)).alias("_pos"), "_n")
-    pos = pos.select("*", F.explode(F.array(
-        F.struct(F.floor("_pos").alias("_rank"), (1 - (F.col("_pos") - F.floor("_pos"))).alias("_w")),
-        F.struct(F.least(F.floor("_pos") + 1, F.col("_n") - 1).alias("_rank"),
-                 (F.col("_pos") - F.floor("_pos")).alias("_w")))).alias("_s")) \
-        .select(*group, "_out", "_s._rank", "_s._w")
-    targets = materialise(
-        pos.join(sizes, group).filter(
-            (F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_k"))),
-        "quantile_targets")
-
-    hit = sized_join(tagged, targets.select(*group, "_b", "_off").distinct(), [*group, "_b"])
-    hit = hit.groupBy(*group, "_b", "_off", "_v").agg(F.count(F.lit(1)).alias("_m"))
-    upto = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = hit.withColumn("_end", F.col("_off") + F.sum("_m").over(upto)) \
-             .withColumn("_start", F.col("_end") - F.col("_m"))
-    found = hit.join(targets.select(*group, "_b", "_out", "_rank", "_w"), [*group, "_b"]) \
-        .filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-    out = found.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("_out") == name, F.col("_w") * F.col("_v"))).alias(name) for name in wanted])
-    groups = slim.select(*keys).distinct()
-    if not keys:
-        return out
-    return groups.join(out, keys, "left").select(*keys, *wanted)
+        return df.groupBy(*keys).agg(*also, *[F.percentile(F.col(c), F.lit(p)).alias(out) for out, (c, p) in wanted.items()])
+    # a NULL key is a key like any other inside a struct
+    tag = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(1).alias("_one"))
+    columns = sorted({c for c, _ in wanted.values()})
+    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    if len(columns) == 1:
+        long = df.select(tag.alias("_g"), F.lit(0).alias("_c"), F.col(columns[0]).cast("double").alias("_v"))
+    else:
+        long = df.select(tag.alias("_g"), F.explode(pairs).alias("_e")).select("_g", "_e._c", "_e._v")
+    long = long.filter(F.col("_v").isNotNull()).withColumn("_k", order_key(F.col("_v"))) \
+        .withColumn("_d", F.shiftright("_k", _LOW1))
+    group = ["_g", "_c"]
+
+    first = materialise(long.groupBy(*group, "_d").agg(F.count(F.lit(1)).alias("_n")), "first_digits")
+    numbers = {c: i for i, c in enumerate(columns)}
+    specs = F.array(*[F.struct(F.lit(out).alias("_out"), F.lit(numbers[c]).alias("_of"), F.lit(float(p)).alias("_p"))
+                      for out, (c, p) in wanted.items()])
+    asks = first.groupBy(*group).agg(F.sum("_n").alias("_total")).select(*group, "_total", F.explode(specs).alias("_a")) \
+        .filter(F.col("_a._of") == F.col("_c")).withColumn("_pos", F.col("_a._p") * (F.col("_total") - 1))
+    low, part = F.floor("_pos"), F.col("_pos") - F.floor("_pos")
+    asks = asks.select(*group, F.col("_a._out").alias("_out"), F.explode(F.array(
+        F.struct(low.alias("_rank"), (1 - part).alias("_w")),
+        F.struct((low + 1).alias("_rank"), part.alias("_w")))).alias("_s")) \
+        .select(*group, "_out", "_s._rank", "_s._w").filter("_w > 0")
+    one = materialise(_placed(first, group, "_d", asks, "_d"), "first_targets")
+
+    left = long.join(one.select(*group, "_d").distinct(), [*group, "_d"]).groupBy(*group, "_d", "_k").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_v").alias("_v"))
+    left = materialise(left.withColumn("_e", F.shiftright("_k", _LOW2)), "remaining_values")
+    second = left.groupBy(*group, "_d", "_e").agg(F.sum("_n").alias("_n"))
+    two = _placed(second, [*group, "_d"], "_e", one, "_e").drop("_d")
+    last = left.join(two.select(*group, "_e").distinct(), [*group, "_e"]).select(*group, "_e", "_k", "_n", "_v")
+    three = _placed(last, [*group, "_e"], "_k", two, "_key")
+
+    found = three.groupBy("_g").agg(*[F.sum(F.when(F.col("_out") == out, F.col("_w") * F.col("_v"))).alias(out) for out in wanted])
+    base = df.groupBy(*keys).agg(*(also or [F.count(F.lit(1)).alias("_rows")])).withColumn("_g", tag)
+    out = base.join(found, "_g", "left")
+    return out.select(*keys, *[c for c in base.columns if c not in (*keys, "_g", "_rows")], *wanted)

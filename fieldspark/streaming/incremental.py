@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.scaling import band_std
+from . import commits
 
 
 def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
@@ -24,18 +25,24 @@ def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern:
 
 
 def _run(stream: DataFrame, path: str, checkpoint: str | None, write: Callable[[DataFrame, str], None],
-         mode: str = "append") -> None:
+         mode: str = "append", after: Callable[[], None] | None = None) -> None:
     """Process what is available; ``write`` gets each micro-batch and the folder that is its own.
 
     The checkpoint lives beside the target unless given, so the next call goes on where this one
     ended. Folders carry the query's own id, so a query with a new checkpoint never replaces the
-    output of an older one, while a retried batch replaces itself.
+    output of an older one. A folder counts once its commit is in the table's log; a retried
+    batch that is there already is left as it is.
     """
     spark, state = stream.sparkSession, checkpoint or f"{path.rstrip('/')}-checkpoint"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        meta = batch.sparkSession.read.schema("id string").json(f"{state}/metadata")
-        write(batch, f"run={meta.first()['id']}/batch={batch_id}")
+        run = spark.read.schema("id string").json(f"{state}/metadata").first()["id"]
+        folder = f"run={run}/batch={batch_id}"
+        if not any((c.run, c.batch, c.kind) == (run, batch_id, "add") for c in commits.history(spark, path)):
+            write(batch, folder)
+            commits.commit(spark, path, "add", run, batch_id, folder)
+        if after is not None:
+            after()
     query = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -54,35 +61,68 @@ def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def intake_scenes(stream: DataFrame, path: str, key: str = "id", checkpoint: str | None = None) -> DataFrame:
     """Add scenes not stored before to a table and return it.
 
-    A scene is known by its id, however old: each micro-batch keeps one row per id and leaves
-    out ids that other batches have stored.
+    A scene is known by its id, however old. Ids of this checkpoint live in its keyed state
+    (RocksDB, on disk), so a micro-batch looks up its own ids and never reads the table; only
+    rows that other checkpoints stored are read, and there are none in the usual case.
     """
+    spark = stream.sparkSession
+
     def write(batch: DataFrame, folder: str) -> None:
-        run, number = (x.split("=")[1] for x in folder.split("/"))
-        known = _stored(batch.sparkSession, path, stream.schema).filter(
-            (F.col("run") != run) | (F.col("batch") != int(number))).select(key)
-        batch.dropDuplicates([key]).join(known, key, "left_anti").select(*stream.columns) \
-            .write.mode("overwrite").parquet(f"{path}/{folder}")
-    _run(stream, path, checkpoint, write)
-    return _stored(stream.sparkSession, path, stream.schema).drop("run", "batch")
+        run = folder.split("/")[0].split("=")[1]
+        if any(c.run != run for c in commits.history(spark, path)):
+            known = _stored(spark, path, stream.schema).filter(F.col("run") != run).select(key)
+            batch = batch.join(known, key, "left_anti").select(*stream.columns)
+        batch.write.mode("overwrite").parquet(f"{path}/{folder}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _run(stream.dropDuplicates([key]), path, checkpoint, write)
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return _stored(spark, path, stream.schema).drop("run", "batch")
+
+
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    return [f"{path}/{c.folder}" for c in commits.live(commits.history(spark, path))]
+
+
+def compact_composite(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+    """Replace the live partial sums by one folder; readers see the old ones or the new one."""
+    done = commits.history(spark, path)
+    if len(commits.live(done)) < 2:
+        return
+    folder = f"compact={done[-1].sequence:012d}"
+    parts = spark.read.parquet(*_committed(spark, path))
+    parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys]) \
+        .write.mode("overwrite").parquet(f"{path}/{folder}")
+    commits.commit(spark, path, "all", "", 0, folder)
 
 
 def update_composite(stream: DataFrame, keys: Sequence[str], bands: Sequence[str], path: str,
-                     checkpoint: str | None = None) -> None:
+                     checkpoint: str | None = None, compact_every: int = 64) -> None:
     """Add a stream of clear observations to a table of partial sums.
 
     Each micro-batch reduces to (sum, n) per key in a folder of its own, so a reopened month
     is just another partial, a retry does not count twice and a later call adds new files only.
+    After ``compact_every`` folders they are merged into one, so readers meet that many at most.
     """
+    spark = stream.sparkSession
+
     def write(batch: DataFrame, folder: str) -> None:
         batch.groupBy(*keys).agg(*[F.sum(b).alias(f"{b}_sum") for b in bands], F.count(F.lit(1)).alias("n")) \
             .write.mode("overwrite").parquet(f"{path}/{folder}")
-    _run(stream, path, checkpoint, write)
+
+    def after() -> None:
+        if len(commits.live(commits.history(spark, path))) > compact_every:
+            compact_composite(spark, path, keys)
+    _run(stream, path, checkpoint, write, after=after)
 
 
 def read_composite(spark: SparkSession, path: str, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
     """Current composite: means and observation counts over all partial sums."""
-    return spark.read.parquet(path).groupBy(*keys).agg(
+    return spark.read.parquet(*_committed(spark, path)).groupBy(*keys).agg(
         *[F.try_divide(F.sum(f"{b}_sum"), F.sum("n")).alias(b) for b in bands],
         F.sum("n").cast("int").alias("OBS_COUNT"))
 
@@ -104,12 +144,14 @@ def running_band_statistics(stream: DataFrame, keys: Sequence[str], value: str,
     """Count, mean and population spread per band, kept current over a stream and over calls.
 
     The state is one row per band, stored in the checkpoint; each trigger writes the complete
-    result to its own folder and the latest one is returned.
+    result to its own folder, and that of the last commit is returned, whichever checkpoint
+    it belongs to: after a start with a new checkpoint the answer is the new one.
     """
     stats = stream.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
                                       band_std(F.stddev_pop(value)).alias("std"))
     _run(stats, path, checkpoint, lambda batch, folder: batch.write.mode("overwrite").parquet(f"{path}/{folder}"),
          mode="complete")
-    stored = _stored(stream.sparkSession, path, stats.schema)
-    last = stored.agg(F.max("batch").alias("b")).first()["b"]
-    return stored.filter(F.col("batch") == (-1 if last is None else last)).drop("run", "batch")
+    done = commits.history(stream.sparkSession, path)
+    if not done:
+        return stream.sparkSession.createDataFrame([], stats.schema)
+    return stream.sparkSession.read.schema(stats.schema).parquet(f"{path}/{done[-1].folder}")

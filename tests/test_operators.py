@@ -515,3 +515,64 @@ def test_summaries_with_other_columns_are_read_by_name(spark, tmp_path):
     (tmp_path / "z.csv").write_text("")
     got = {r["county_fips"]: (r["year"], r["NDVI_mean"], r["EVI_mean"], r["source_file"]) for r in readers.read_vi_summaries(spark, str(tmp_path)).collect()}
     assert got == {"01001": (2020, .5, None, "x.csv"), "01002": (2020, None, None, "x.csv"), "01003": (2021, None, .25, "y.csv")}
+
+
+def test_compaction_keeps_the_composite_and_bounds_the_folders(spark, tmp_path):
+    from fieldspark.streaming import commits
+    src, out = str(tmp_path / "in"), str(tmp_path / "sums")
+    df = spark.range(40).select((F.col("id") % 4).alias("k"), F.col("id").cast("double").alias("v"))
+    for part in range(4):
+        df.filter(F.col("id") % 4 == part).coalesce(1).write.mode("append").parquet(src)
+        incremental.update_composite(incremental.stream_table(spark, src, df.schema, files_per_batch=1), ["k"], ["v"], out, compact_every=2)
+        assert len(commits.live(commits.history(spark, out))) <= 2
+    got = {r["k"]: (r["v"], r["OBS_COUNT"]) for r in incremental.read_composite(spark, out, ["k"], ["v"]).collect()}
+    assert got == {k: (18.0 + k, 10) for k in range(4)}
+    assert commits.expire(spark, out) > 0
+    assert {r["k"]: r["OBS_COUNT"] for r in incremental.read_composite(spark, out, ["k"], ["v"]).collect()} == {k: 10 for k in range(4)}
+
+
+def test_statistics_of_the_last_checkpoint_answer(spark, tmp_path):
+    out = str(tmp_path / "stats")
+    for name, values in (("a", (0.0, 1.0, 2.0)), ("b", (9.0,))):
+        src = str(tmp_path / name)
+        for v in values:
+            spark.createDataFrame([("x", v)], "band string, v double").coalesce(1).write.mode("append").parquet(src)
+        stream = incremental.stream_table(spark, src, spark.read.parquet(src).schema, files_per_batch=1)
+        got = incremental.running_band_statistics(stream, ["band"], "v", out, checkpoint=str(tmp_path / f"{name}-state")).collect()
+    assert [(r["n"], r["mean"]) for r in got] == [(1, 9.0)]
+
+
+def test_block_files_tell_missing_cut_and_changed_files(spark, tmp_path):
+    from fieldspark.operators import quality as q
+    from fieldspark.sources import blocks
+    root = str(tmp_path / "img")
+    px = spark.range(4 * 900).selectExpr("concat('m/t', id div 900, '.fsb') AS file", "(id % 900) div 30 AS row", "id % 30 AS col", "cast(id AS double) AS v")
+    grids = px.select("file").distinct().selectExpr("file", "30L AS height", "30L AS width", "'EPSG:5070' AS crs", "30.0D AS res", "-9999.0D AS nodata")
+    assert sorted(r["blocks"] for r in blocks.write_blocks(px, grids, root, ["v"], 16).collect()) == [4] * 4
+    data = (tmp_path / "img/m/t1.fsb").read_bytes()
+    (tmp_path / "img/m/t1.fsb").write_bytes(data[:len(data) // 2])
+    spot = bytearray((tmp_path / "img/m/t2.fsb").read_bytes())
+    spot[10] ^= 255  # in the first block
+    (tmp_path / "img/m/t2.fsb").write_bytes(bytes(spot))
+    plan = spark.range(5 * 4).selectExpr("concat('m/t', id div 4, '.fsb') AS file", "id AS sample_id", "(id % 4) div 2 * 16 AS row_off", "id % 2 * 16 AS col_off", "16L AS size")
+    reads = blocks.read_windows(plan, root, values=True).collect()
+    status = {(r["file"], r["row_off"], r["col_off"]): r["status"] for r in reads}
+    assert len(reads) == 20
+    for (file, row, col), s in status.items():
+        assert s == {"m/t1.fsb": "unreadable", "m/t4.fsb": "missing"}.get(file, "corrupt" if file == "m/t2.fsb" and row == col == 0 else "ok")
+    edge = next(r for r in reads if r["file"] == "m/t0.fsb" and r["row_off"] == 16 and r["col_off"] == 16)
+    assert edge["finite_share"] == 14 * 14 / 256 and edge["values"][0] == 16 * 30 + 16
+    report = {r["file"]: (r["state"], r["window_reads"], r["bad_reads"], r["affected_chips"]) for r in q.planned_report(blocks.read_windows(plan, root)).collect()}
+    assert report["m/t2.fsb"] == ("corrupt", 4, 1, 1) and report["m/t4.fsb"] == ("missing", 4, 0, 0) and report["m/t0.fsb"][0] == "ok"
+    meta = {r["file"]: (r["height"], r["bands"], r["crs"], r["error"]) for r in blocks.raster_metadata(spark, root).collect()}
+    assert meta["m/t0.fsb"] == (30, 1, "EPSG:5070", None) and meta["m/t1.fsb"][3] is not None
+
+
+def test_merge_inputs_must_agree(spark):
+    schema = "file string, crs string, bands int, dtype string, res double, nodata double, band_names array<string>"
+    same = ("EPSG:5070", 1, "float32", 30.0, -9999.0, ["y"])
+    near = spark.createDataFrame([("a", *same), ("b", *same[:3], 30.00001, None, ["z"])], schema)
+    assert sorted(r["property"] for r in mosaic.require_compatible(near).collect()) == ["band_names", "nodata"]
+    with pytest.raises(ValueError, match="b: crs"):
+        mosaic.require_compatible(spark.createDataFrame([("a", *same), ("b", "EPSG:4326", *same[1:])], schema))
+    assert mosaic.input_mismatches(near.limit(0)).count() == 0

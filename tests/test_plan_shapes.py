@@ -72,3 +72,26 @@ def test_region_clip_lists_no_positions(spark, pixels):
     text = plan(spatial.clip_to_region(pixels, fx.shapes(spark, SF), F.col("col") + 0.5, F.col("row") + 0.5))
     assert "BroadcastHashJoin" in text and ("ExistenceJoin" in text or "LeftSemi" in text)
     assert "HashAggregate" not in text and "hashpartitioning" not in text and "NestedLoop" not in text
+
+
+def test_first_and_last_source_are_hash_aggregates(pixels):
+    from fieldspark.operators import mosaic
+    tiles = pixels.select("row", "col", F.concat(F.lit("s"), F.col("month").cast("string")).alias("source"), F.col("EVI_mean").alias("v"))
+    for method in ("first", "last"):
+        text = plan(mosaic.overlap(tiles, ["row", "col"], "v", "source", method))
+        assert "SortAggregate" not in text and "HashAggregate" in text
+
+
+def test_bilinear_moves_pixels_once(spark):
+    from fieldspark.operators import grid
+    src = spark.range(100).selectExpr("1 AS g", "cast(id div 10 as int) AS row", "cast(id % 10 as int) AS col", "1.0D AS v")
+    pair = spark.createDataFrame([(1, 1.0, 1.0, 0.0, 0.0, 4.0, 4.0, 0.0, 0.0)],
+                                 "g int, t_a double, t_e double, t_c double, t_f double, s_a double, s_e double, s_c double, s_f double")
+    text = plan(grid.regrid_bilinear(src.select("g", "row", "col"), src, pair, ["g"], "v"))
+    assert text.count("hashpartitioning") == 2 and "CoGroup" in text
+
+
+def test_bootstrap_sends_sums_only(pixels):
+    df = pixels.select("county_fips", F.col("EVI_mean").alias("pred"), F.col("NDWI_mean").alias("target"))
+    text = plan(metrics.bootstrap_ci(df, "county_fips", n_boot=20))
+    assert "Join" not in text and "partial_sum" in text
