@@ -7,14 +7,20 @@ method, a protected entity is a base value. A term discloses an entity when
     PMI(t, e) = IC(e) + log P(e | t)
 
 with D the number of distinct texts, c(e) and c(t) those that hold the entity and the term,
-and P(e | t) the lower confidence bound of c(t, e) / c(t) texts: few texts count for less,
-but any number of them may be enough. All counts are of whole distinct texts, so copies
-change nothing. Disclosing terms become spans of kind ``term`` wherever they stand, in all
-texts. DataFrame functions only.
+and P(e | t) the lower confidence bound of c(t, e) / c(t). Every rare word of a text meets
+the entities of that text at least once, so the count must also beat chance: given that a
+pair meets at all, the chance to meet c(t, e) times is bounded (Chernoff, Poisson mean
+c(t) c(e) / D), and false discoveries among all pairs that meet are held to ``ALPHA``. A pair
+met once never passes. c(t, e) counts distinct texts and distinct neighbourhoods of the
+term, whichever are fewer, so exact and near copies of one text are one piece of evidence.
+Disclosing terms become spans of kind ``term`` wherever they stand, in all texts. DataFrame
+functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import LAST, canonical, fresh, let, materialise
@@ -22,8 +28,12 @@ from .line_dedup import _may_hold
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "term")
-#: Code points on either side of an entity, within its line, that are its window (``_contexts``).
-RADIUS = 120
+#: Distances in words of a term's near and far neighbours, on either side.
+NEAR, FAR = (1, 2), (3, 4, 5, 6)
+#: Share of false discoveries among the pairs that are taken to beat chance.
+ALPHA = 0.05
+#: Steps of a natural logarithm in which probabilities are counted.
+_STEPS = 20
 #: Standard deviations of the lower confidence bound (one-sided 90%).
 Z = 1.2816
 #: Share of an entity's information from which a term discloses it.
@@ -94,38 +104,6 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[checked(i, kind) for i, kind in enumerate(BASE)])
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
-    """Terms in the window of every entity, an input of ``disclosing``; ``find`` and ``sanitise`` count whole
-    texts instead: doc_id, h, kind, value, context, term, start, end."""
-    held = docs.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
-    each = held.select("doc_id", "h", "text", "base", F.explode("base").alias("e"))
-    low = F.greatest(F.col("e.start") - RADIUS, F.lit(0))
-    around = each.select(
-        "doc_id", "h", "base", "e", (low > 0).alias("cut_left"),
-        F.substring("text", low + 1, F.col("e.start") - low).alias("left"),
-        F.substring(F.col("text"), F.col("e.end") + 1, F.lit(RADIUS)).alias("right"),
-        (F.length("text") > F.col("e.end") + RADIUS).alias("cut_right"))
-    around = around.select(
-        "doc_id", "h", "base", "e",
-        (F.col("cut_left") & ~F.contains("left", F.lit("\n"))).alias("cut_left"),
-        (F.col("cut_right") & ~F.contains("right", F.lit("\n"))).alias("cut_right"),
-        F.substring_index("left", "\n", -1).alias("left"), F.substring_index("right", "\n", 1).alias("right"))
-    # a term cut off by the window is not known, so it is left out
-    before = F.filter(located(F.col("left"), TERM, F.lit(len(BASE))), lambda m: ~(F.col("cut_left") & (m["start"] == 0)))
-    after = F.filter(located(F.col("right"), TERM, F.lit(len(BASE))),
-                     lambda m: ~(F.col("cut_right") & (m["end"] == F.length("right"))))
-
-    def shifted(found: Column, by: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(
-            (m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("term")))
-    terms = F.concat(shifted(before, F.col("e.start") - F.length("left")), shifted(after, F.col("e.end")))
-    rows = around.select("doc_id", "h", "base", F.col("e.kind").alias("kind"), F.lower("e.value").alias("value"),
-                         F.xxhash64("left", "right").alias("context"), F.explode(terms).alias("t"))
-    apart = ~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"]))
-    return rows.filter(apart & (F.length("t.term") >= 3) & F.col("t.term").rlike(r"\p{L}")) \
-        .select("doc_id", "h", "kind", "value", "context", "t.term", "t.start", "t.end")
-
-
 def _names(term: Column) -> Column:
     return (F.length(term) >= 3) & term.rlike(r"\p{L}")
 
@@ -139,24 +117,31 @@ def _spread(docs: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def _told(d: Column, threshold: float, z: float) -> Column:
-    """Whether c_te of c_t texts tell of an entity in c_e of ``d`` texts, by Wilson's lower bound."""
+    """Whether ``texts`` of c_t texts tell of an entity in c_e of ``d`` texts, by Wilson's lower bound."""
     n, zz = F.col("c_t").cast("double"), z * z
-    p = F.least("c_te", "c_t") / n
+    p = F.least("texts", "c_t") / n
     low = (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
     ic = F.log(d / F.col("c_e"))
     return (ic > 0) & (ic + F.log(low) >= threshold * ic)
 
 
-def disclosing(docs: DataFrame, near: DataFrame, support: int = 1, threshold: float = THRESHOLD,
-               z: float = 0.0) -> DataFrame:
-    """(kind, value, term) of terms that disclose an entity; ``near`` is a stored table of contexts."""
-    joint = near.select("kind", "value", "term", "context").distinct() \
-        .groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= support)
-    entity = near.select("kind", "value", "context").distinct() \
-        .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("c_e"))
-    spread, d = _spread(docs)
-    return joint.join(entity, ["kind", "value"]).join(spread, "term") \
-        .filter(_told(d, threshold, z)).select("kind", "value", "term")
+def _chance() -> Column:
+    """Natural logarithm of a bound for the chance that a pair that meets does so ``c_te`` times."""
+    c, mean = F.col("c_te").cast("double"), F.col("c_t") * F.col("c_e") / F.col("d")
+    tail = c - mean + c * F.log(mean / c) - F.log(-F.expm1(-mean))
+    return F.when((c <= 1) | (c <= mean), F.lit(0.0)).otherwise(F.least(tail, F.lit(0.0)))
+
+
+def _cut(pairs: DataFrame, alpha: float) -> int | None:
+    """The step of log probability from which pairs beat chance (Benjamini-Hochberg); None if none do."""
+    # one row per step
+    steps = sorted(((r["step"], r["n"]) for r in pairs.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, above, best = sum(n for _, n in steps), 0, None
+    for step, n in steps:
+        above += n
+        if step > 0 and total * math.exp(-step / _STEPS) <= alpha * above:
+            best = step
+    return best
 
 
 def _apart(spans: Column, base: Column) -> Column:
@@ -165,7 +150,7 @@ def _apart(spans: Column, base: Column) -> Column:
 
 
 def _outside(text: Column, base: Column) -> Column:
-    """Terms of a text that no base span overlaps, without their places and in linear time.
+    """(term, near, far) of the terms of a text that no base span overlaps, in linear time, with hashes of their neighbours.
 
     A base span becomes a letter of its own, and words with that letter go. Base spans end in a term's
     character; where one does not start with such, a space keeps the word before it whole.
@@ -174,10 +159,16 @@ def _outside(text: Column, base: Column) -> Column:
         F.when(b["value"].rlike(f"^{TERM}"), 0).otherwise(1).alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
     clear = _replaced(F.translate(text, _MARK, ","), marked, F.array(F.lit(_MARK), F.lit(f" {_MARK}")))
     words = F.regexp_extract_all(F.lower(clear), F.lit(TERM.replace("_'", f"_{_MARK}'")), F.lit(0))
-    return F.filter(F.array_distinct(words), lambda w: ~F.contains(w, F.lit(_MARK)))
+
+    def each(w: Column) -> Column:
+        def beside(i: Column, steps: tuple[int, ...]) -> Column:
+            return F.xxhash64(*[F.coalesce(F.get(w, i + k), F.lit("")) for d in steps for k in (-d, d)])
+        near = F.transform(w, lambda x, i: F.struct(x.alias("term"), beside(i, NEAR).alias("near"), beside(i, FAR).alias("far")))
+        return F.array_distinct(F.filter(near, lambda x: ~F.contains(x["term"], F.lit(_MARK)) & _names(x["term"])))
+    return let(words, each)
 
 
-def disclosing_terms(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def disclosing_terms(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z, alpha: float = ALPHA) -> DataFrame:
     """(term) of all terms that disclose some entity, counted over whole distinct texts.
 
     Entities that stand in the same texts have the same counts with every term, so one row
@@ -195,11 +186,14 @@ def disclosing_terms(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z
     def reach(c_e: Column) -> Column:
         return F.pow(c_e.cast("double"), F.lit(threshold)) * F.pow(d, F.lit(1 - threshold)) * (1 + 1e-9)
     rare = spread.filter(_names(F.col("term")) & (F.col("c_t") <= reach(F.lit(most))))
-    terms = held.select("h", F.explode(_outside(F.col("text"), F.col("base"))).alias("term")) \
-        .filter(_names(F.col("term"))).distinct()
-    return terms.join(rare, "term").join(who, "h").filter(F.col("c_t") <= reach(F.col("c_e"))) \
-        .groupBy("term", "s1", "s2", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")) \
-        .filter(_told(d, threshold, z)).select("term").distinct()
+    terms = held.select("h", F.explode(_outside(F.col("text"), F.col("base"))).alias("t")).select("h", "t.term", "t.near", "t.far").distinct()
+    pairs = terms.join(rare, "term").join(who, "h").filter(F.col("c_t") <= reach(F.col("c_e"))) \
+        .groupBy("term", "s1", "s2", "c_e", "c_t").agg(F.count_distinct("h").alias("texts"), F.count_distinct("near").alias("near"), F.count_distinct("far").alias("far"))
+    pairs = pairs.select("term", "c_e", "c_t", "texts", F.least("texts", "near", "far").alias("c_te")).withColumn("d", d)
+    pairs = materialise(pairs.withColumn("step", F.floor(-_chance() * _STEPS).cast("int")), "pii_pairs")
+    cut = _cut(pairs, alpha)
+    met = pairs.filter(F.lit(False) if cut is None else F.col("step") >= cut)
+    return met.filter(_told(F.col("d"), threshold, z)).select("term").distinct()
 
 
 def term_words(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:

@@ -176,9 +176,20 @@ def _term_words(spark, texts):
 FILLER = [f"filler {i} words stand here for a while and say nothing of note" for i in range(300)]
 
 
-def test_disclosing_terms_of_one_text(spark):
-    """A name beside its e-mail in one text is as rare as the e-mail itself."""
-    assert _term_words(spark, [*FILLER, "words of Quxolin stand here, bob@example.com"])[-1] == {"Quxolin"}
+def test_names_are_told_from_rare_words(spark):
+    """A name that comes back with its e-mail goes; the rare words of the same texts stay, however rare."""
+    def rare(k):
+        return " ".join(f"rare{k}x{j}" for j in range(50))
+    texts = [*FILLER, *[f"{rare(k)} for Zyxorin words {rare(k + 50)} ann@example.com" for k in range(5)],
+             f"{rare(99)} Quxolin bob@example.com", "another rare999 word of Zyxorin"]
+    got = _term_words(spark, texts)
+    assert got[300:] == [{"Zyxorin"}] * 5 + [set(), {"Zyxorin"}] and not any(got[:300])
+
+
+def test_near_copies_are_one_piece_of_evidence(spark):
+    text = " ".join(f"rare{j}" for j in range(60)) + " bob@example.com " + " ".join(f"odd{j}" for j in range(60))
+    got = _term_words(spark, [*FILLER, *[text.replace("rare30", f"other{k}") for k in range(12)]])
+    assert not any(got)
 
 
 def test_disclosing_terms_in_whole_texts(spark):
@@ -194,8 +205,8 @@ def test_terms_outside_base_spans(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("base", pii.base_spans(F.col("text")))
     for r in df.withColumn("got", pii._outside(F.col("text"), F.col("base"))).collect():
         base = brute_spans(r.text)
-        assert set(r.got) == {m[0].lower() for m in re.finditer(r"[\w'-]+", r.text)
-                              if not any(a < m.end() and m.start() < b for _, a, b in base)}
+        assert {x.term for x in r.got} == {m[0].lower() for m in re.finditer(r"[\w'-]+", r.text)
+                              if len(m[0]) >= 3 and re.search(r"[^\W\d_]", m[0]) and not any(a < m.end() and m.start() < b for _, a, b in base)}
 
 
 def test_copies_hide_no_term(spark):
@@ -205,48 +216,64 @@ def test_copies_hide_no_term(spark):
     assert got[300:] == [{"Zyxorin"}] * 403
 
 
-def brute_terms(texts, support, threshold):
-    near, docs = {}, Counter()
-    for t in texts:
-        docs.update({x.lower() for x in re.findall(r"[\w'-]+", t)})
+def brute_terms(texts, threshold=pii.THRESHOLD, z=pii.Z, alpha=pii.ALPHA):
+    texts = sorted(set(texts))
+    d, spread, held, places = len(texts), Counter(), {}, {}
+    for n, t in enumerate(texts):
+        spread.update({x.lower() for x in re.findall(r"[\w'-]+", t)})
         base = brute_spans(t)
-        for kind, a, b in base:
-            lo = max(0, a - pii.RADIUS)
-            left, right = t[lo:a], t[b:b + pii.RADIUS]
-            cl, cr = lo > 0 and "\n" not in left, len(t) > b + pii.RADIUS and "\n" not in right
-            left, right = left.split("\n")[-1], right.split("\n")[0]
-            for side, at in ((left, a - len(left)), (right, b)):
-                for m in re.finditer(r"[\w'-]+", side):
-                    if (side is left and cl and m.start() == 0) or (side is right and cr and m.end() == len(right)):
-                        continue
-                    s, e = m.start() + at, m.end() + at
-                    if len(m[0]) >= 3 and re.search(r"[^\W\d_]", m[0]) and not any(x < e and s < y for _, x, y in base):
-                        near.setdefault((kind, t[a:b].lower()), []).append(((left, right), m[0].lower()))
+        for _, a, b in base:
+            held.setdefault(t[a:b].lower(), set()).add(n)
+        if base:
+            found = [(m[0].lower(), any(a < m.end() and m.start() < b for _, a, b in base)) for m in re.finditer(r"[\w'-]+", t)]
+            runs = [(w, inside) for i, (w, inside) in enumerate(found)]
+            names = [None if inside else w for w, inside in runs]
+            for i, w in enumerate(names):
+                if w and len(w) >= 3 and re.search(r"[^\W\d_]", w):
+                    sides = [tuple(names[i + k] if 0 <= i + k < len(names) else "" for d in steps for k in (-d, d))
+                             for steps in (pii.NEAR, pii.FAR)]
+                    places.setdefault(w, {}).setdefault(n, set()).add(tuple(sides))
+    pairs = []
+    for where in {frozenset(v) for v in held.values()}:
+        for w, at in places.items():
+            both = where & set(at)
+            c_e, c_t = len(where), spread[w]
+            if both and c_t <= c_e ** threshold * d ** (1 - threshold) * (1 + 1e-9):
+                seen = set().union(*[at[n] for n in both])
+                c, mean = min(len(both), *[len({x[k] for x in seen}) for k in (0, 1)]), c_t * c_e / d
+                log = 0.0 if c <= 1 or c <= mean else min(0.0, c - mean + c * math.log(mean / c) - math.log(-math.expm1(-mean)))
+                pairs.append((w, len(both), c_e, c_t, math.floor(-log * 20)))
+    cut = None
+    for step in sorted({p[4] for p in pairs}, reverse=True):
+        if step > 0 and len(pairs) * math.exp(-step / 20) <= alpha * sum(p[4] >= step for p in pairs):
+            cut = step
     out = set()
-    for entity, found in near.items():
-        c_e = len({c for c, _ in found})
-        for term in {x for _, x in found}:
-            c_te = len({c for c, x in found if x == term})
-            ic = math.log(len(texts) / c_e)
-            if c_te >= support and ic > 0 and math.log(len(texts) * min(c_te, docs[term]) / (docs[term] * c_e)) >= threshold * ic:
-                out.add((*entity, term))
+    for w, n, c_e, c_t, step in pairs:
+        p, ic = min(n, c_t) / c_t, math.log(d / c_e)
+        low = (p + z * z / (2 * c_t) - z * math.sqrt(p * (1 - p) / c_t + z * z / (4 * c_t * c_t))) / (1 + z * z / c_t)
+        if cut is not None and step >= cut and ic > 0 and ic + math.log(low) >= threshold * ic:
+            out.add(w)
     return out
 
 
-def test_disclosing_terms_match_brute_force(spark):
-    r = np.random.default_rng(4)
-    words = [f"word{i}" for i in range(40)] + ["it's", "x_y", "Ünïc", "12", "ab"]
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_disclosing_terms_match_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    words = [f"word{i}" for i in range(300)] + ["it's", "x_y", "Ünïc", "12", "ab"]
     texts = []
-    for i in range(150):
+    for i in range(400):
         parts = list(r.choice(words, r.integers(3, 40)))
-        for _ in range(r.integers(0, 3)):
-            parts.insert(int(r.integers(0, len(parts))), str(r.choice([f"p{r.integers(0, 6)}@mail.com", "10.0.0.1", "\n"])))
+        if r.random() < .2:
+            who = int(r.integers(0, 12))
+            parts.insert(int(r.integers(0, len(parts))), f"p{who}@mail.com")
+            for name in (f"Name{who}", f"Surname{who // 2}"):
+                if r.random() < .9:
+                    parts.insert(int(r.integers(0, len(parts))), name)
         texts.append(" ".join(parts))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    keyed = pii._keyed(df, "doc_id", "text")
-    got = pii.disclosing(keyed, pii._contexts(keyed), 2, 0.05).collect()
-    want = brute_terms(texts, 2, 0.05)
-    assert want and {(pii.KINDS[x.kind], x.value, x.term) for x in got} == want
+    texts += texts[:30]
+    keyed = pii._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    want = brute_terms(texts)
+    assert want and {x.term for x in pii.disclosing_terms(keyed).collect()} == want
 
 
 def test_pii_edge_tables(spark):
