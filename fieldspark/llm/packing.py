@@ -88,15 +88,18 @@ def assign(found: DataFrame, length: int = LENGTH, group: int = GROUP, seed: int
     n = max(1, -(-found.count() // group))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "salt"], ignore_index=True)
+        pdf = pdf.sort_values(["no_id", "doc_id", "start", "ids_crc32", "salt"], ignore_index=True)
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), length)
         out = pdf.drop(columns=["salt", "bucket"])
         return out.assign(sequence_id=(pdf["bucket"].to_numpy() << 32) + bins, offset=offsets)
 
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "salt"), F.lit(n)).cast("long")
-    schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, no_id boolean, "
               "sequence_id long, offset long")
-    return found.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, schema)
+    # pandas would turn a column of ids with a null into floats, so the null is a column of its own
+    whole = found.withColumns({"bucket": bucket, "no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    placed = whole.groupBy("bucket").applyInPandas(run, schema)
+    return placed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,

@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from .common import LAST, canonical, fresh, materialise
@@ -86,6 +86,14 @@ def link_fingerprints(codes: DataFrame, radius: int = RADIUS, tile: int = TILE)
     return compare(tiles, pairs, ["ones", "tile"], _links(radius), "x long, y long")
 
 
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """(code, component, least) of every fingerprint of stored (doc_id, code) rows."""
+    codes = materialise(marked.groupBy("code").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least")), "codes")
+    parts = connected_components(link_fingerprints(codes.select("code"), radius), "x", "y")
+    return codes.join(parts.withColumnRenamed("node", "code"), "code", "left") \
+        .withColumn("component", F.coalesce("component", "code"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     radius: int = RADIUS) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint, component_id (smallest doc_id reachable).
@@ -95,10 +103,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = canonical(df, id_col, text_col)
     marked = materialise(docs.select("doc_id", fingerprint_udf("text").alias("code")), "fingerprints")
-    codes = materialise(marked.groupBy("code").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least")), "codes")
-    parts = connected_components(link_fingerprints(codes.select("code"), radius), "x", "y")
-    grouped = codes.join(parts.withColumnRenamed("node", "code"), "code", "left") \
-        .withColumn("component", F.coalesce("component", "code"))
+    grouped = _components(marked, radius)
     roots = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     by_code = grouped.select("code", "component").join(roots, "component").select("code", "component_id")
     return marked.join(by_code, "code").select(
@@ -107,12 +112,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Rows of ``df`` that stand for their group: the smallest doc_id; of rows that share it, the first by text."""
-    found = near_duplicates(df, id_col, text_col, radius)
-    key, rank = fresh(df, "_key", "_rank")
-    winners = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))) \
-        .select(F.coalesce("doc_id", F.lit(LAST)).alias(key)).distinct()
+    """One row of ``df`` per component: that of the smallest doc_id, a null one last, then of the smallest hash of its text.
+
+    Rows that resemble nothing all stay, whatever ids they share. Of rows with the same id
+    and text the one with the smallest hash over its plain columns stays. An empty table
+    gives no rows.
+    """
+    key, h = fresh(df, "_key", "_h")
+    docs = canonical(df, id_col, text_col)
+    marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint_udf("text").alias("code")), "fingerprints")
+    grouped = _components(marked.select("doc_id", "code"), radius).select("code", "component")
+    winners = marked.join(grouped, "code").groupBy("component").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("k"), "h")).alias("w")).select(
+        F.col("w.k").alias(key), F.col("w.h").alias(h))
+    tagged = df.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)),
+                             h: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).join(winners, [key, h], "left_semi")
     plain = [F.col(f"`{c}`") for c, t in df.dtypes if t in ("string", "bigint", "int", "double", "float", "boolean")]
-    order = Window.partitionBy(key).orderBy(F.col(text_col), *plain)
-    return df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).join(winners, key, "left_semi") \
-        .withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(key, rank)
+    # reduced map-side, so that many copies of one row do not meet in one task
+    row = tagged.groupBy(key, h).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(*plain)).alias("row"))
+    return row.select("row.*")

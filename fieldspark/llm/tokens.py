@@ -21,8 +21,8 @@ from .common import canonical
 
 #: Vocabulary file; a name is looked up among the public tokenizers, a path is used as it is.
 VOCABULARY = "byte_bpe_50k.json"
-#: Chunks a worker remembers before it starts anew.
-MEMO = 1_000_000
+#: Bytes of chunks and ids a worker remembers before it starts anew, and what an entry costs besides.
+MEMO, _ENTRY = 96 << 20, 150
 #: Texts encoded at once.
 BATCH = 256
 
@@ -37,17 +37,27 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces of ``text`` whose encodings concatenate to its encoding."""
+def split(text: str) -> tuple[str, list[str]]:
+    """(first chunk, keys of the others): a key is a chunk without the space it starts with, or one that starts with a line break."""
     if _BESIDE.search(text):
         first, *rest = _SAFE.split(text)
-        return [first, *[" " + c for c in rest]]
-    first, *rest = text.replace("\n", " \n").split(" ")
-    return [first, *[c if c[0] == "\n" else " " + c for c in rest]]
+    else:
+        first, *rest = text.replace("\n", " \n").split(" ")
+    return first, rest
+
+
+def _chunk(key: str) -> str:
+    return key if key[:1] == "\n" else " " + key
+
+
+def chunks(text: str) -> list[str]:
+    """Pieces of ``text`` whose encodings concatenate to its encoding."""
+    first, rest = split(text)
+    return [first, *map(_chunk, rest)]
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids; its memory is bounded in bytes."""
 
     def __init__(self, vocabulary: str, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,20 +65,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
+        self.held, self.limit = 0, memo
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        new = list(set().union(*cut).difference(self.memo)) if cut else []
+    def _learn(self, memo: dict[str, bytes], keys: set[str], chunk) -> None:
+        new = list(keys.difference(memo))
         for k in range(0, len(new), 4096):
             part = new[k:k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[c] = np.array(e.ids, "<u4").tobytes()
-        got = self.memo.__getitem__
-        return [b"".join(map(got, c)) for c in cut]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([chunk(c) for c in part], add_special_tokens=False)):
+                memo[c] = ids = np.array(e.ids, "<u4").tobytes()
+                self.held += len(c) + len(ids) + _ENTRY
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.held > self.limit:
+            self.first.clear()
+            self.rest.clear()
+            self.held = 0
+        cut = [split(t) for t in texts]
+        self._learn(self.first, {f for f, _ in cut}, str)
+        self._learn(self.rest, set().union(*[r for _, r in cut]), _chunk)
+        first, got = self.first.__getitem__, self.rest.__getitem__
+        return [first(f) + b"".join(map(got, r)) for f, r in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}

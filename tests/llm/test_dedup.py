@@ -230,3 +230,11 @@ def test_line_dedup_edge_tables(spark):
     assert line_dedup.dedup(fixtures.empty(spark)).count() == 0
     df = fixtures.clashing(spark)
     assert line_dedup.dedup(df).count() == df.count() == line_dedup.apply(df).count()
+
+
+def test_keep_one_goes_by_rows(spark):
+    """Null and repeated ids: rows that resemble nothing stay, a copy goes whatever its id."""
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("oak", "elm", "ash", "fir", "yew")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[4])]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == Counter(rows[:5])

@@ -160,3 +160,17 @@ def test_token_id_digest_of_the_query(spark, ranked):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_packing_keeps_ids_beside_a_null_one(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None]
+    df = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string").coalesce(1)
+    assert Counter(r.doc_id for r in packing.pack(df).collect()) == Counter(ids)
+
+
+def test_encoder_forgets_by_bytes():
+    coder = tokens.Encoder(tokens.VOCABULARY, memo=20000)
+    texts = [f"word{i} and  more\nlines{i} here " + "x" * (i % 50) for i in range(400)]
+    kept = tokens.Encoder(tokens.VOCABULARY)
+    assert [coder.encode([t])[0] for t in texts] == kept.encode(texts)
+    assert coder.held < 20000 + 2000
