@@ -38,8 +38,8 @@ MIN_ROWS = 10
 NEUTRAL = 10
 #: Averages are scaled by this, since the words that matter are a small share of a text.
 SCALE = 100.0
-#: Words a worker remembers before it starts anew.
-MEMO = 500_000
+#: Bytes of words a worker remembers before it starts anew, what a word costs besides, and n-grams.
+MEMO, _ENTRY, GRAMS = 32 << 20, 150, 200_000
 
 _MARKS = ".,;:!?\"'`()[]{}<>|/\\*#-_…«»“”„‘’0123456789"
 
@@ -171,7 +171,7 @@ class _Grams(dict):
         self.weights = weights
 
     def __missing__(self, gram: str) -> float:
-        if len(self) > 2 * MEMO:
+        if len(self) > GRAMS:
             self.clear()
         found = self[gram] = float(self.weights[zlib.crc32(gram.encode()) % len(self.weights)])
         return found
@@ -182,13 +182,16 @@ class Scorer:
         self.weights, self.bias = weights, bias
         self.memo: dict[str, float] = {}
         self.grams = _Grams(weights)
+        self.held = 0
 
     def score(self, text: str) -> float:
         memo, found = self.memo, text.lower().split()
-        if len(memo) > MEMO:
+        if self.held > MEMO:
             memo.clear()
+            self.held = 0
         for token in set(found).difference(memo):
             memo[token] = self.word(token)
+            self.held += len(token) + _ENTRY
         got = list(map(memo.__getitem__, found))
         n = sum(map(bool, got))
         out = SCALE * sum(got) / (n + NEUTRAL) + self.bias
