@@ -103,6 +103,17 @@ def a18(spark, d):
     return rounded(a.join(b, "feature"), "gee_weight_normalized", "nonnegative")
 
 
+@check("A18b_coefficient_table", _WITH_FIT + f"""SELECT feature, {R('w')} AS ridge_coef_standardized, {R('greatest(w, 0) / t')} AS gee_weight_normalized, {R('m')} AS x_mean, {R('s')} AS x_std,
+ {R('my')} AS ridge_intercept, 1.0::DOUBLE AS ridge_alpha, true AS force_nonnegative_weights, 0.15::DOUBLE AS redist_strength, 0.5::DOUBLE AS raw_weight_min, 1.5::DOUBLE AS raw_weight_max,
+ 0.3::DOUBLE AS min_valid_pixel_fraction, CAST(20 AS BIGINT) AS min_crop_pixel_count FROM ({_COEF}), (SELECT sum(greatest(w, 0)) AS t FROM ({_COEF}))""")
+def a18b(spark, d):
+    """Written, read back with its settings, and returned."""
+    c = materialise(ridge.fit(_training(spark, d), F2, "yield_bu_ac"), "coefficients")
+    table = materialise(ridge.coefficient_table(c, nonnegative=True, min_valid_fraction=0.3, min_crop_pixels=20), "coefficient_table")
+    assert ridge.settings_of(table)["redist_strength"] == 0.15
+    return rounded(table, "ridge_coef_standardized", "gee_weight_normalized", "x_mean", "x_std", "ridge_intercept")
+
+
 # --- metrics -------------------------------------------------------------------------------------
 
 _FLOATS = [m for m in metrics.METRICS if m != "n"]

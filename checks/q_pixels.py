@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import spectral
 from fieldspark.operators import composite, disagg, gapfill, mosaic, quality, zonal
+from fieldspark.plans import materialise
 from . import fixtures as fx
 from .fixtures import with_
 from .q_sources import SQL_INDICES, _CLEAR
@@ -212,10 +213,8 @@ def a13(spark, d):
 
 @check("J14_apply_weights", _WITH_SPREAD + f"""SELECT county_fips, year, "row", col, {R(' + '.join(f'{w * 2 / 2} * ({f} - {f}_mu) / {f}_sd' for f, w in W4.items()))} AS score FROM vi_pixel JOIN params USING (county_fips, year) WHERE crop_mask""")
 def j14(spark, d):
-    # coefficient rows built from the nation table stand for a stored coefficient file
-    t = fx.table(spark, d, "nation").filter("n_nationkey < 4").select(
-        F.element_at(F.array(*[F.lit(f) for f in _F4]), F.col("n_nationkey") + 1).alias("feature"),
-        F.element_at(F.array(*[F.lit(10 * w) for w in W4.values()]), F.col("n_nationkey") + 1).alias("ridge_coef_standardized"))
+    # a stored coefficient file
+    t = materialise(spark.createDataFrame([(f, 10 * w) for f, w in W4.items()], "feature string, ridge_coef_standardized double"), "coefficients")
     weights = disagg.weights_from_table(t)
     out = disagg.county_zscores(fx.vi_pixel(spark, d)).withColumn("score", disagg.vegetation_score(weights))
     return rounded(out.select("county_fips", "year", "row", "col", "score"), "score")

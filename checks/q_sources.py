@@ -35,11 +35,11 @@ def s02(spark, d):
         "year", "county_name", F.regexp_replace("Value", ",", "").alias("yield_bu_ac"))
     # smallest yield first, so that the first row of a county-year is known; two column orders; and in the later file a second row of every county-year, which must not count
     even = F.col("year").cast("int") % 2 == 0
-    t = t.coalesce(1).sortWithinPartitions("GEOID", "year", F.col("yield_bu_ac").try_cast("double"))
+    t = t.repartitionByRange(4, "GEOID", "year").sortWithinPartitions("GEOID", "year", F.col("yield_bu_ac").try_cast("double"))
     t.filter(even).write.option("header", True).csv(f"{path}/a")
     t.filter(~even).select("yield_bu_ac", "county_name", "GEOID", "state", "year").write.option("header", True).csv(f"{path}/b")
     t.filter(F.col("yield_bu_ac").try_cast("double").isNotNull()).withColumn("yield_bu_ac", F.lit("1")) \
-        .select("year", "GEOID", "yield_bu_ac").coalesce(1).write.option("header", True).csv(f"{path}/c")
+        .select("year", "GEOID", "yield_bu_ac").write.option("header", True).csv(f"{path}/c")
     out = readers.read_county_yield(spark, path).select("state", "geoid", "year", "county_name", "yield_bu_ac")
     return rounded(out, "yield_bu_ac")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import is_observed, ratio
 from ..plans import materialise, sized_join
+from .disagg import STRENGTH, WEIGHT_MAX, WEIGHT_MIN
 
 ALPHA = 1.0
 
@@ -177,3 +178,30 @@ def normalise_weights(coefficients: DataFrame, nonnegative: bool = False) -> Dat
     if not total:
         raise ValueError("all coefficients are zero; weights cannot be normalised")
     return raw.withColumn("gee_weight_normalized", F.col("_w") / F.lit(total)).drop("_w")
+
+
+def coefficient_table(coefficients: DataFrame, alpha: float = ALPHA, nonnegative: bool = False, strength: float = STRENGTH,
+                      weight_min: float = WEIGHT_MIN, weight_max: float = WEIGHT_MAX, min_valid_fraction: float | None = None,
+                      min_crop_pixels: int | None = None) -> DataFrame:
+    """The table that a fit hands on: a row per feature with its weights and every setting that made or will use them.
+
+    A job that spreads yields by these weights reads strength and limits from here, so fit
+    and use cannot disagree; ``settings_of`` returns them and refuses mixed tables.
+    """
+    settings = {"ridge_alpha": F.lit(float(alpha)), "force_nonnegative_weights": F.lit(nonnegative),
+                "redist_strength": F.lit(float(strength)), "raw_weight_min": F.lit(float(weight_min)),
+                "raw_weight_max": F.lit(float(weight_max)), "min_valid_pixel_fraction": F.lit(min_valid_fraction).cast("double"),
+                "min_crop_pixel_count": F.lit(min_crop_pixels).cast("long")}
+    return normalise_weights(coefficients, nonnegative).select(
+        "feature", "ridge_coef_standardized", "gee_weight_normalized", "x_mean", "x_std", "ridge_intercept",
+        *[c.alias(n) for n, c in settings.items()])
+
+
+def settings_of(table: DataFrame) -> dict:
+    """Settings of a coefficient table; one made from several runs is refused."""
+    names = ["ridge_alpha", "force_nonnegative_weights", "redist_strength", "raw_weight_min", "raw_weight_max",
+             "min_valid_pixel_fraction", "min_crop_pixel_count"]
+    rows = table.select(*names).distinct().limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a coefficient table needs exactly one set of settings")
+    return rows[0].asDict()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -27,28 +30,45 @@ def read_survey_records(spark: SparkSession, path: str) -> DataFrame:
 def _rows_by_name(spark: SparkSession, path: str, marker: str, known: Sequence[str], pattern: str = "*") -> DataFrame:
     """Text columns ``known`` of CSV files that may each have a column order of their own.
 
-    A file's header is its line with a cell ``marker`` (case does not count). Headers meet
-    the other lines of their file in a join; neither paths nor headers reach the driver,
-    only the largest number of columns does. Columns absent from a file are NULL. ``_file``
-    and ``_at`` give the file name and the place of a row in reading order.
+    A file is read once, by one task, which finds its header (the first row with a cell
+    ``marker``; case does not count) and yields the rows after it; quoted cells may hold
+    line breaks. Columns absent from a file and empty cells are NULL, later rows that repeat
+    the header are not data, and files without one give no rows. ``_file`` and ``_at`` give
+    the file name and the place of a row in reading order.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) \
-        .option("ignoreCorruptFiles", True).text(path).select(
-        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"),
-        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                 F.monotonically_increasing_id()).alias("_at"))
-    cells = F.transform(F.split(F.lower("value"), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    head = F.array_contains(cells, marker.lower())
-    heads = lines.filter(head).select("_path", cells.alias("_names")).groupBy("_path").agg(F.min("_names").alias("_names"))
-    width = heads.agg(F.max(F.size("_names")).alias("w")).first()["w"]
-    if width is None:
-        raise ValueError(f"no table with a column {marker!r} under {path}")
-    layout = ", ".join(f"c{i} string" for i in range(width))
-    body = lines.filter(~head & (F.trim("value") != "")).withColumn("_cells", F.from_csv("value", F.lit(layout)))
-    values = F.array(*[F.col(f"_cells.c{i}") for i in range(width)])
-    at = {c: F.array_position("_names", c.lower()).cast("int") for c in known}
-    return body.join(heads, "_path").select(
-        *[F.when(p > 0, F.get(values, p - 1)).alias(c) for c, p in at.items()], "_file", "_at")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern) \
+        .option("ignoreCorruptFiles", True).load(path).select("path", "content")
+    wanted = {c.lower(): i for i, c in enumerate(known)}
+    place = pa.struct([("path", pa.string()), ("row", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                text = io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", "replace", newline="")
+                names, out = None, []
+                for n, cells in enumerate(csv.reader(text)):
+                    low = [c.strip().lower() for c in cells]
+                    if marker.lower() in low:
+                        names = names or [wanted.get(c) for c in low]
+                    elif names is not None and any(low):
+                        row: list = [None] * len(known)
+                        for at, cell in zip(names, cells):
+                            if at is not None and cell != "" and row[at] is None:
+                                row[at] = cell
+                        out.append((*row, name.rsplit("/", 1)[-1], {"path": name, "row": n}))
+                    if len(out) == 8192:
+                        yield as_batch(out)
+                        out = []
+                if out:
+                    yield as_batch(out)
+
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [*[pa.string()] * (len(known) + 1), place]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [*known, "_file", "_at"])
+
+    schema = ", ".join(f"`{c}` string" for c in known) + ", _file string, _at struct<path:string,row:long>"
+    return files.mapInArrow(rows, schema)
 
 
 def read_county_yield(spark: SparkSession, path: str) -> DataFrame:

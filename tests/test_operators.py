@@ -576,3 +576,13 @@ def test_merge_inputs_must_agree(spark):
     with pytest.raises(ValueError, match="b: crs"):
         mosaic.require_compatible(spark.createDataFrame([("a", *same), ("b", "EPSG:4326", *same[1:])], schema))
     assert mosaic.input_mismatches(near.limit(0)).count() == 0
+
+
+def test_csv_files_are_read_once_and_keep_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('yields 2020\nGEOID,Year,yield_bu_ac,County_Name\n19001,2020,50.5,"Adair,\nsouth"\n,,,\nGEOID,Year,yield_bu_ac,County_Name\n19001,2020,1,late\n')
+    (tmp_path / "b.csv").write_text('county_name,"yield_bu_ac",year,geoid,extra\n"say ""x""",7,2021,17003,9\n,(D),2021,17005,9\n')
+    (tmp_path / "c.csv").write_text("no header here\n1,2,3\n")
+    df = readers.read_county_yield(spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r["geoid"], r["year"]): (r["county_name"], r["yield_bu_ac"]) for r in df.collect()}
+    assert got == {("19001", 2020): ("Adair,\nsouth", 50.5), ("17003", 2021): ('say "x"', 7.0)}
