@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import ratio
-from ..plans import grouped_percentiles, materialise, sized_join
+from ..plans import grouped_percentiles, materialise
 
 METRICS = ("n", "mae", "rmse", "bias", "r2", "pearson_r", "pearson_r2", "pct_mae")
 
