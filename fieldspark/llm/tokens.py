@@ -22,7 +22,7 @@ from .common import canonical
 #: Vocabulary file; a name is looked up among the public tokenizers, a path is used as it is.
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of chunks and ids a worker remembers before it starts anew, and what an entry costs besides.
-MEMO, _ENTRY = 96 << 20, 150
+MEMO, _ENTRY = 176 << 20, 150
 #: Texts encoded at once.
 BATCH = 256
 
