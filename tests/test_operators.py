@@ -586,3 +586,17 @@ def test_csv_files_are_read_once_and_keep_quoted_line_breaks(spark, tmp_path):
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     got = {(r["geoid"], r["year"]): (r["county_name"], r["yield_bu_ac"]) for r in df.collect()}
     assert got == {("19001", 2020): ("Adair,\nsouth", 50.5), ("17003", 2021): ('say "x"', 7.0)}
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    rng = np.random.default_rng(3)
+    box = "xmin double, ymin double, xmax double, ymax double"
+    counties = [(f"c{i}{j}", 10.0 * i, 10.0 * j, 10.0 * i + 10, 10.0 * j + 10) for i in range(8) for j in range(8)]
+    scenes = [("all", -500.0, -500.0, 500.0, 500.0), ("none", None, None, None, None), ("point", 20.0, 20.0, 20.0, 20.0)]
+    scenes += [(f"s{k}", x, y, x + w, y + w) for k, (x, y, w) in enumerate(zip(rng.uniform(-20, 90, 40), rng.uniform(-20, 90, 40), 3.0 ** rng.uniform(-2, 4, 40)))]
+    scenes = [tuple(float(v) if isinstance(v, (float, np.floating)) else v for v in s) for s in scenes]
+    out = spatial.bbox_overlaps(spark.createDataFrame(scenes, f"scene_id string, {box}"), spark.createDataFrame(counties, f"geoid string, {box}"), 1.0)
+    got = [(r["scene_id"], r["geoid"]) for r in out.collect()]
+    want = [(s[0], c[0]) for s in scenes for c in counties
+            if s[1] is None or (s[3] >= c[1] and s[1] <= c[3] and s[4] >= c[2] and s[2] <= c[4])]
+    assert sorted(got) == sorted(want)
