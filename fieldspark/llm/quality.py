@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import canonical, let, materialise, words
+from .common import SPACE, canonical, let, materialise, words
 
 BUCKETS = 10_000
 #: Share of the trusted texts that may score below the cut.
@@ -41,26 +41,37 @@ def _repeated(w: Column) -> Column:
     return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(let(grams, some))
 
 
-def base_counts(df: DataFrame) -> DataFrame:
-    """Base rule columns beside ``words`` for (doc_id, text) rows."""
+def base_counts(df: DataFrame, *more: Column) -> DataFrame:
+    """Base rule columns beside ``more`` and ``text`` for (doc_id, text) rows."""
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = df.withColumn("words", words(text)).select(
-        "doc_id", "words", F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate(text, " \t\n\u000b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        "doc_id", "text", *more, F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.size(F.split(text, "[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("words")).alias("n_repeat_words"))
     return out.withColumn("base_failed", (F.col("n_words") < 50)
                           | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def ngram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the words and word pairs of a text; ``w`` must be a stored column, since lambdas read it."""
-    def pair(x: Column, i: Column) -> Column:
-        return F.pmod(F.xxhash64(x, F.get(w, i + 1)), F.lit(buckets)).cast("int")
-    ones = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    return F.concat(ones, F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), pair))
+def with_ngrams(df: DataFrame, *keep: str | Column, buckets: int = BUCKETS) -> DataFrame:
+    """``keep`` and the buckets ``one`` (a word) and ``two`` (with its successor) of every word of ``text``.
+
+    One row per piece between spaces. An empty piece, found only at the ends of a text, and the
+    last word's missing pair are null. Rows instead of arrays keep the hashes in generated code.
+    """
+    def bucket(*cols: str) -> Column:
+        here = F.lit(True)
+        for c in cols:
+            here = here & F.col(c).isNotNull() & (F.col(c) != "")
+        return F.when(here, F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int"))
+    # stored once per row: the zip reads the array twice
+    split = df.select(*keep, F.split("text", SPACE).alias("_w"))
+    zipped = F.arrays_zip(F.col("_w").alias("x"), F.slice("_w", 2, F.size("_w")).alias("y"))
+    kept = [c for c in split.columns if c != "_w"]
+    pieces = split.select(*kept, F.explode(zipped).alias("_g")).select(*kept, "_g.x", "_g.y")
+    return pieces.select(*kept, bucket("x").alias("one"), bucket("x", "y").alias("two"))
 
 
 def bucket_ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -70,8 +81,8 @@ def bucket_ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     documents in a shuffled hash join, the same plan for few ids as for many, and no text is sorted.
     """
     marked = df.join(trusted.select("doc_id", F.lit(1).alias("t")).distinct().hint("shuffle_hash"), "doc_id", "left")
-    counts = marked.withColumn("words", words(F.col("text"))) \
-        .select("t", F.explode(ngram_buckets(F.col("words"), buckets)).alias("b")) \
+    counts = with_ngrams(marked, "t", buckets=buckets) \
+        .select("t", F.explode(F.array("one", "two")).alias("b")).filter("b IS NOT NULL") \
         .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("target"))
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"),
@@ -105,9 +116,12 @@ def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     # `buckets` numbers, folded into one constant
     found = bucket_ratios(docs, trusted, buckets).first()["ratios"]
     ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")
-    n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    total = F.aggregate(ngram_buckets(F.col("words"), buckets), F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
-    scored = base_counts(docs).withColumn("score", total / n).drop("words")
+    # a row's number keeps equal rows apart; its n-grams are summed where they are made, then one row per text moves
+    counted = base_counts(docs, F.monotonically_increasing_id().alias("_row"))
+    keys = [c for c in counted.columns if c != "text"]
+    summed = with_ngrams(counted, *keys, buckets=buckets).groupBy(*keys).agg(F.coalesce(F.sum(
+        F.coalesce(F.get(ratios, F.col("one")), F.lit(0.0)) + F.coalesce(F.get(ratios, F.col("two")), F.lit(0.0))), F.lit(0.0)).alias("total"))
+    scored = summed.withColumn("score", F.col("total") / F.greatest(2 * F.col("n_words") - 1, F.lit(1))).drop("_row", "total")
     if threshold is None:
         scored = materialise(scored, "quality_scores")
         threshold = score_cut(scored, trusted)
