@@ -34,15 +34,18 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles of a whole text; no words: zero."""
+def shingle_spans(text: str, shingle: int = SHINGLE) -> tuple[bytes, list[int], list[int]]:
+    """(lower-cased words joined by spaces, starts, stops) of the word shingles of a whole text."""
     found = text.encode().translate(_LOWER).split()
     if not found:
-        return 0
-    joined = b" ".join(found)
+        return b"", [], []
     ends = list(accumulate((len(w) + 1 for w in found), initial=-1))
-    starts = [e + 1 for e in ends[:-1]]
-    stops = ends[shingle:] if len(found) >= shingle else ends[-1:]
+    return b" ".join(found), [e + 1 for e in ends[:-1]], ends[shingle:] if len(found) >= shingle else ends[-1:]
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles of a whole text; no words: zero."""
+    joined, starts, stops = shingle_spans(text, shingle)
     counts, h64 = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for k in range(0, len(stops), _CHUNK):
         h = np.array([h64(joined[a:b], SEED) for a, b in zip(starts[k:k + _CHUNK], stops[k:k + _CHUNK])], "<u8")
@@ -111,6 +114,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(F.col("component_id") != LAST, F.col("component_id")).alias("component_id"))
 
 
+def one_per_component(df: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``df`` that stands for each component of ``placed`` (doc_id, h as hash of the text, component)."""
+    key, h = fresh(df, "_key", "_h")
+    winners = placed.groupBy("component").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("k"), "h")).alias("w")).select(
+        F.col("w.k").alias(key), F.col("w.h").alias(h))
+    tagged = df.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)),
+                             h: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).join(winners, [key, h], "left_semi")
+    plain = [F.col(f"`{c}`") for c, t in df.dtypes if t in ("string", "bigint", "int", "double", "float", "boolean")]
+    # reduced map-side, so that many copies of one row do not meet in one task
+    row = tagged.groupBy(key, h).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(*plain)).alias("row"))
+    return row.select("row.*")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``df`` per component: that of the smallest doc_id, a null one last, then of the smallest hash of its text.
 
@@ -118,16 +135,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     and text the one with the smallest hash over its plain columns stays. An empty table
     gives no rows.
     """
-    key, h = fresh(df, "_key", "_h")
     docs = canonical(df, id_col, text_col)
     marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint_udf("text").alias("code")), "fingerprints")
     grouped = _components(marked.select("doc_id", "code"), radius).select("code", "component")
-    winners = marked.join(grouped, "code").groupBy("component").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("k"), "h")).alias("w")).select(
-        F.col("w.k").alias(key), F.col("w.h").alias(h))
-    tagged = df.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)),
-                             h: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).join(winners, [key, h], "left_semi")
-    plain = [F.col(f"`{c}`") for c, t in df.dtypes if t in ("string", "bigint", "int", "double", "float", "boolean")]
-    # reduced map-side, so that many copies of one row do not meet in one task
-    row = tagged.groupBy(key, h).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(*plain)).alias("row"))
-    return row.select("row.*")
+    return one_per_component(df, marked.join(grouped, "code").select("doc_id", "h", "component"), id_col, text_col)

@@ -42,11 +42,12 @@ class Forest:
     def __init__(self, n: int) -> None:
         self.label = np.arange(n)
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Join i and j; the positions of the links that joined two trees."""
         a, b = self.label[i], self.label[j]
-        new = a != b
-        if not new.any():
-            return
+        new = np.flatnonzero(a != b)
+        if not len(new):
+            return new
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -54,11 +55,15 @@ class Forest:
                 x = up[x]
             return x
 
-        for p, q in np.unique(np.stack([a[new], b[new]], 1), axis=0).tolist():
+        n, used = len(self.label), []
+        keys, first = np.unique(a[new].astype(np.int64) * n + b[new], return_index=True)
+        for at, p, q in zip(first.tolist(), (keys // n).tolist(), (keys % n).tolist()):
             p, q = root(p), root(q)
             if p != q:
                 up[max(p, q)] = min(p, q)
-        to = np.arange(len(self.label))
+                used.append(at)
+        to = np.arange(n)
         for x in up:
             to[x] = root(x)
         self.label = to[self.label]
+        return new[used]
