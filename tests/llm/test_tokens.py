@@ -174,3 +174,31 @@ def test_encoder_forgets_by_bytes():
     kept = tokens.Encoder(tokens.VOCABULARY)
     assert [coder.encode([t])[0] for t in texts] == kept.encode(texts)
     assert coder.held < 20000 + 2000
+
+
+def test_unseen_words_ask_for_their_parts_once():
+    coder = tokens.Encoder(tokens.VOCABULARY)
+    whole = coder.tokenizer.encode
+    words = ["Über", "naïve", "ªº", "ŉa", "O'Neil", "it's", "they'll", "x1", "a_b", "don't's", "漢字", "ʼn", "Ωmega", "😀"]
+    marks = ["", ",", "'", "''", "...", "_", "&&&", "'s", "’", "\x1c"]
+    texts = [f"{a}{w}{m}{s}{w}{m}" for w in words for m in marks for s in (" ", "\n", "  ", "\n\n", "\t") for a in ("", "b ")]
+    assert coder.encode(texts) == [np.array(whole(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    asked, model = [], coder.model
+
+    class Counted:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+
+    coder.model = Counted()
+    coder.encode(["x zebrine, zebrine. zebrine; zebrine\nzebrine!"])
+    assert sum("zebrine" in a for a in asked) == 2
+
+
+def test_round_trip_in_one_worker(spark):
+    out = bpe.round_trip(fixtures.clashing(spark)).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, bpe.decode(bpe.encode(fixtures.clashing(spark))).collect()))
+    plan = bpe.round_trip(fixtures.empty(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert bpe.round_trip(fixtures.empty(spark)).count() == 0
+    assert not hasattr(bpe.decoder(bpe.RANKS), "automaton")
