@@ -26,7 +26,8 @@ from .common import canonical
 from .tokens import chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MEMO = 400_000
+#: Pieces and chunks of texts a worker remembers before it starts anew; twice as many pairs of tokens.
+MEMO = 200_000
 BATCH = 256
 
 
@@ -66,6 +67,24 @@ class _Memo(dict):
         return found
 
 
+class Decoder:
+    """The bytes of every id, end to end; a megabyte where a codec has many."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = {r: t for t, r in ranks.items()}
+        self.sizes = np.zeros(max(found) + 1, np.int64)
+        for r, t in found.items():
+            self.sizes[r] = len(t)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(found.get(r, b"") for r in range(len(self.sizes))), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of ids, as an array."""
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - before, sizes)]
+
+
 class Codec:
     """Encoder and decoder for one rank file and split pattern."""
 
@@ -96,12 +115,8 @@ class Codec:
         self.agree = _Memo(self._agree, 2 * memo)
         self.pieces = _Memo(self._piece, memo)
         self.chunks = _Memo(self._chunk, memo)
-        sizes = np.zeros(max(self.bytes) + 1, np.int64)
-        for r, t in self.bytes.items():
-            sizes[r] = len(t)
-        self.size = sizes.tolist()
-        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
-        self.flat = np.frombuffer(b"".join(self.bytes.get(r, b"") for r in range(len(sizes))), np.uint8)
+        self.decoder = Decoder(self.ranks)
+        self.size = self.decoder.sizes.tolist()
 
     def _agree(self, pair: tuple[int, int]) -> bool:
         """Whether the merges turn the bytes of two tokens into just these two.
@@ -158,9 +173,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of ids, as an array."""
-        sizes = self.sizes[ids]
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - before, sizes)]
+        return self.decoder.decode(ids)
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -173,6 +186,16 @@ def codec(ranks: str, pattern: str | None) -> Codec:
     return _CODECS[ranks, pattern]
 
 
+_DECODERS: dict[str, Decoder] = {}
+
+
+def decoder(ranks: str) -> Decoder:
+    """The worker's decoder."""
+    if ranks not in _DECODERS:
+        _DECODERS[ranks] = Decoder(read_ranks(ranks))
+    return _DECODERS[ranks]
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, BATCH):
@@ -195,10 +218,27 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", ranks: str = RANKS) -> DataFrame:
     """Add the bytes of every id list of a table made by ``encode``; a null list stays null."""
     def run(batches):
-        coder = codec(ranks, None)
+        coder = decoder(ranks)
         for b in _slices(batches):
             lists = b.column(b.schema.get_field_index(ids_col))
             text = [None if x is None else coder.decode(x.values.to_numpy()).tobytes() for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], [*b.schema.names, out])
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(run, f"{kinds}, `{out}` binary")
+
+
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS,
+               pattern: str | None = None, out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one worker: (doc_id, ids array<int>, bytes that the ids decode to).
+
+    Two steps would run two workers per task, and workers that take turns would all come to hold a codec.
+    """
+    def run(batches):
+        coder = codec(ranks, pattern)
+        for b in _slices(batches):
+            ids = [coder.encode(t) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            back = pa.array([coder.decode(i).tobytes() for i in ids], pa.binary())
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), listed, back], ["doc_id", "ids", out])
+    return canonical(df, id_col, text_col).mapInArrow(run, f"doc_id long, ids array<int>, `{out}` binary")
