@@ -38,8 +38,10 @@ MIN_ROWS = 10
 NEUTRAL = 10
 #: Averages are scaled by this, since the words that matter are a small share of a text.
 SCALE = 100.0
-#: Bytes of words a worker remembers before it starts anew, what a word costs besides, and n-grams.
-MEMO, _ENTRY, GRAMS = 32 << 20, 150, 200_000
+#: Bytes of words a worker remembers before it starts anew, and what a word costs besides.
+MEMO, _ENTRY = 32 << 20, 150
+#: Characters of texts whose new words are looked up together.
+TOGETHER = 1 << 18
 
 _MARKS = ".,;:!?\"'`()[]{}<>|/\\*#-_…«»“”„‘’0123456789"
 
@@ -54,6 +56,55 @@ def grams(word: str) -> list[str]:
     return [marked, *[marked[i:i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)]]
 
 
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def _buckets_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(``subwords`` of all words end to end, their number per word), as arrays.
+
+    The n-grams from every character of the marked words grow by one character at a time, their
+    checksums by that character's UTF-8 bytes.
+    """
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    room = np.repeat(ends, lengths) - np.arange(len(codes))  # characters from here to the word's end
+    wide = bool(len(codes)) and int(codes.max()) > 127
+    hashes = [np.fromiter((zlib.crc32(m.encode()) for m in marked), np.uint32, len(marked))]
+    order = [np.arange(len(marked)) * 5]
+    at, crc = np.arange(len(codes)), np.full(len(codes), 0xFFFFFFFF, np.uint32)
+    for n in range(1, 7):
+        if n >= 3:
+            live = room[at] >= n
+            at, crc = at[live], crc[live]
+        else:
+            live = at + n <= len(codes)
+            at, crc = at[live], crc[live]
+        c = codes[at + n - 1]
+        if not wide:
+            crc = _CRC[(crc ^ c) & 255] ^ (crc >> 8)
+        else:
+            high = c > 127
+            lead = np.where(high, np.where(c < 0x800, 0xC0 | c >> 6, np.where(c < 0x10000, 0xE0 | c >> 12, 0xF0 | c >> 18)), c)
+            crc = _CRC[(crc ^ lead) & 255] ^ (crc >> 8)
+            for shift, above in ((12, 0xFFFF), (6, 0x7FF), (0, 127)):
+                more = np.flatnonzero(c > above)
+                if len(more):
+                    b, old = 0x80 | c[more] >> shift & 63, crc[more]
+                    crc[more] = _CRC[(old ^ b) & 255] ^ (old >> 8)
+        if n >= 3:
+            hashes.append(~crc)
+            order.append(owner[at] * 5 + n - 2)
+    # a word's own bucket comes first, then its n-grams by length and place
+    into = np.argsort(np.concatenate(order), kind="stable")
+    sizes = 1 + sum(np.maximum(lengths - n + 1, 0) for n in range(3, 7))
+    return (np.concatenate(hashes)[into] % np.uint32(buckets)).astype(np.int64), sizes
+
+
 def plain(token: str) -> str:
     """A token between white space without the marks around it."""
     return token.strip(_MARKS)
@@ -69,22 +120,16 @@ def word_counts(text: str) -> Counter:
 
 def _rows(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (ends, buckets, weights) of average subword bags."""
-    known: dict[str, list[int]] = {}
     cols, weights, ends = [], [], [0]
     for t in texts:
-        bag: dict[int, float] = {}
         counts = word_counts(t)
         total = sum(counts.values())
-        for w, n in counts.items():
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = subwords(w, buckets)
-            part = SCALE * n / ((total + NEUTRAL) * len(ids))
-            for i in ids:
-                bag[i] = bag.get(i, 0.0) + part
-        cols.append(np.fromiter(bag, np.int32, len(bag)))
-        weights.append(np.fromiter(bag.values(), np.float32, len(bag)))
-        ends.append(ends[-1] + len(bag))
+        found, sizes = _buckets_of(list(counts), buckets)
+        part = SCALE * np.fromiter(counts.values(), np.float64, len(counts)) / ((total + NEUTRAL) * sizes)
+        ids, at = np.unique(found, return_inverse=True)
+        cols.append(ids.astype(np.int32))
+        weights.append(np.bincount(at, np.repeat(part, sizes), len(ids)).astype(np.float32))
+        ends.append(ends[-1] + len(ids))
     return np.array(ends), np.concatenate(cols or [np.empty(0, np.int32)]), np.concatenate(weights or [np.empty(0, np.float32)])
 
 
@@ -101,12 +146,20 @@ def fit(texts: list[str], toxic: list[int], buckets: int = BUCKETS, dims: int =
         return np.zeros(buckets, np.float32), float(np.log((ones + 1) / (n - ones + 2)))
     rng = np.random.default_rng(seed)
     ends, cols, weights = _rows(texts, buckets)
-    used, cols, common = np.unique(cols, return_inverse=True, return_counts=True)
+    common = np.bincount(cols, minlength=buckets)
+    used = np.flatnonzero(common)
+    place = np.zeros(buckets, np.int32)
+    place[used] = np.arange(len(used))
+    cols, common = place[cols], common[used]
     # columns are brought to one scale, so that plain steps follow how steadily a subword goes with a
     # label, not how often it occurs; a subword of few texts would only recall them
     spread = np.sqrt(np.bincount(cols, weights.astype(np.float64) ** 2, len(used)) / n) + 1e-3
     factor = np.where(common >= MIN_ROWS, 1 / spread, 0).astype(np.float32) / np.float32(np.sqrt(len(used)))
-    weights = weights * factor[cols]
+    # entries without weight do nothing from here on
+    heavy = factor[cols] > 0
+    ends = np.concatenate([[0], np.cumsum(heavy, dtype=np.int64)])[ends]
+    cols, weights = cols[heavy], weights[heavy]
+    weights *= factor[cols]
     table = rng.uniform(-0.1, 0.1, (len(used), dims)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
     target = np.stack([1 - y, y], 1)
@@ -164,44 +217,50 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-class _Grams(dict):
-    """Weights of n-grams, looked up once each; starts anew when large."""
-
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights = weights
-
-    def __missing__(self, gram: str) -> float:
-        if len(self) > GRAMS:
-            self.clear()
-        found = self[gram] = float(self.weights[zlib.crc32(gram.encode()) % len(self.weights)])
-        return found
-
-
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias = weights.astype(np.float64), bias
         self.memo: dict[str, float] = {}
-        self.grams = _Grams(weights)
         self.held = 0
 
     def score(self, text: str) -> float:
-        memo, found = self.memo, text.lower().split()
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str]) -> list[float]:
+        out, k = [], 0
+        while k < len(texts):
+            found, size = [], 0
+            while k < len(texts) and size < TOGETHER:
+                found.append(texts[k].lower().split())
+                size += len(texts[k])
+                k += 1
+            self.learn(set().union(*found))
+            out += map(self._one, found)
+        return out
+
+    def learn(self, tokens: set[str]) -> None:
         if self.held > MEMO:
-            memo.clear()
+            self.memo.clear()
             self.held = 0
-        for token in set(found).difference(memo):
-            memo[token] = self.word(token)
-            self.held += len(token) + _ENTRY
-        got = list(map(memo.__getitem__, found))
-        n = sum(map(bool, got))
+        new = list(tokens.difference(self.memo))
+        self.memo.update(zip(new, self.words(new)))
+        self.held += sum(map(len, new)) + _ENTRY * len(new)
+
+    def words(self, tokens: list[str]) -> list[float]:
+        """Mean weight of each word's subwords; zero, as for a token without letters, does not count as a word."""
+        if not tokens:
+            return []
+        words = [t.strip(_MARKS) for t in tokens]
+        found, sizes = _buckets_of(words, len(self.weights))
+        sums = np.bincount(np.repeat(np.arange(len(words)), sizes), self.weights[found], len(words))
+        return np.where(sizes > 1, sums / sizes, 0.0).tolist()
+
+    def _one(self, found: list[str]) -> float:
+        got = list(map(self.memo.__getitem__, found))
+        n = len(got) - got.count(0.0)
         out = SCALE * sum(got) / (n + NEUTRAL) + self.bias
         return 1 / (1 + math.exp(-min(max(out, -700.0), 700.0)))
 
-    def word(self, token: str) -> float:
-        """Mean weight of a word's subwords; zero, as for a token without letters, does not count as a word."""
-        parts = grams(token.strip(_MARKS))
-        return sum(map(self.grams.__getitem__, parts)) / len(parts) if len(parts) > 1 else 0.0
-
 
 def scorer(weights: np.ndarray, bias: float):
     """A column function: probability that a text is toxic; null and empty texts get the model's prior."""
@@ -209,7 +268,7 @@ def scorer(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Scorer(weights, bias)
         for texts in batches:
-            yield pd.Series([s.score(t or "") for t in texts], dtype="float64")
+            yield pd.Series(s.scores([t or "" for t in texts]), dtype="float64")
     return run
 
 

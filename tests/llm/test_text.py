@@ -337,3 +337,22 @@ def test_toxicity_edge_tables(spark, docs):
 @pytest.mark.parametrize("text", ["", " ", "!!! 123", "one"])
 def test_scorer_on_odd_texts(text):
     assert 0 <= toxicity.Scorer(np.zeros(8, np.float32), 0.3).score(text) <= 1
+
+
+def test_buckets_of_many_words():
+    words = ["", "a", "ab", "naïve", "ß", "漢字漢字", "😀x😀", "퟿", "plain", "<<", "x" * 300, "é" * 7] * 3
+    found, sizes = toxicity._buckets_of(words)
+    assert sizes.tolist() == [len(toxicity.subwords(w)) for w in words]
+    assert found.tolist() == [b for w in words for b in toxicity.subwords(w)]
+    assert [len(x) for x in toxicity._buckets_of([])] == [0, 0]
+
+
+def test_fit_holds_little():
+    import tracemalloc
+    texts = [" ".join(f"{w}{k * 7919 % 5000}q{w[::-1]}" for k, w in enumerate(fixtures.prose(i, 400).split())) for i in range(120)]
+    tracemalloc.start()
+    toxicity.fit(texts, [i % 2 for i in range(120)], epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    entries = sum(len(set().union(*map(toxicity.subwords, toxicity.word_counts(t)))) for t in texts)
+    assert peak < 40e6 + 60 * entries
