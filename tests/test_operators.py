@@ -600,3 +600,16 @@ def test_boxes_of_all_sizes_meet(spark):
     want = [(s[0], c[0]) for s in scenes for c in counties
             if s[1] is None or (s[3] >= c[1] and s[1] <= c[3] and s[4] >= c[2] and s[2] <= c[4])]
     assert sorted(got) == sorted(want)
+
+
+def test_full_cells_are_dealt_to_several_tasks(spark):
+    box = "xmin double, ymin double, xmax double, ymax double"
+    scenes = [(f"s{i}", *((None,) * 4 if i % 3 == 0 else (i % 5, i % 4, i % 5 + 2.0, i % 4 + 1.0))) for i in range(60)]
+    counties = [(f"c{i}", float(i % 7), float(i % 5), i % 7 + 1.0, i % 5 + 1.5) for i in range(40)]
+    scenes = [(s, *[v if v is None else float(v) for v in b]) for s, *b in scenes]
+    want = sorted((s, c) for s, a, b, x, y in scenes for c, p, q, u, v in counties
+                  if a is None or (x >= p and a <= u and y >= q and b <= v))
+    frames = spark.createDataFrame(scenes, f"scene_id string, {box}"), spark.createDataFrame(counties, f"geoid string, {box}")
+    for share in (7, 100, 1 << 26):
+        out = spatial.bbox_overlaps(*frames, 1.0, share=share)
+        assert sorted(map(tuple, out.collect())) == want
