@@ -613,3 +613,30 @@ def test_full_cells_are_dealt_to_several_tasks(spark):
     for share in (7, 100, 1 << 26):
         out = spatial.bbox_overlaps(*frames, 1.0, share=share)
         assert sorted(map(tuple, out.collect())) == want
+
+
+def test_repeated_boxes_meet_as_lists(spark):
+    box = "xmin double, ymin double, xmax double, ymax double"
+    here, there, gone = (0.0, 0.0, 2.0, 2.0), (50.0, 50.0, 51.0, 51.0), (None,) * 4
+    scenes = [(i // 2, *(gone if i % 10 == 0 else there if i % 10 == 1 else here)) for i in range(600)]
+    counties = [(f"c{i // 2}", *(there if i % 8 == 0 else here)) for i in range(600)]
+    # as in the SQL, only a missing xmin means no box, and counties without a key or box meet boxless scenes
+    scenes += [(1000, None, 0.0, 2.0, 2.0), (1001, 0.0, None, 2.0, 2.0)]
+    counties += [("none", *gone), ("none", *gone), (None, *here)]
+    want = sorted((s[0], c[0] or "") for s in scenes for c in counties if s[1] is None or (
+        None not in s and c[1] is not None and s[3] >= c[1] and s[1] <= c[3] and s[4] >= c[2] and s[2] <= c[4]))
+    frames = spark.createDataFrame(scenes, f"scene_id long, {box}"), spark.createDataFrame(counties, f"geoid string, {box}")
+    for share in (1000, 1 << 24):
+        lists = [(r["scene_ids"], r["geoids"]) for r in spatial.overlapping_lists(*frames, 1.0, share).collect()]
+        assert sum(len(s) * len(c) for s, c in lists) == len(want) and len(lists) < len(want) / 1000
+        assert max(len(s) for s, _ in lists) <= 64 and max(len(c) for _, c in lists) <= 256
+        out = spatial.bbox_overlaps(*frames, 1.0, share)
+        assert sorted((r["scene_id"], r["geoid"] or "") for r in out.collect()) == want
+
+
+def test_lists_of_a_frequent_key_are_dealt_and_bounded(spark):
+    rows = [("a" if i % 3 else None, i % 700 if i % 5 else None) for i in range(3000)]
+    out = spatial.in_lists(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", 16, deal=100).collect()
+    got = sorted((r["k"] or "", -1 if v is None else v) for r in out for v in r["vs"])
+    assert got == sorted((k or "", -1 if v is None else v) for k, v in rows)
+    assert max(len(r["vs"]) for r in out) <= 16
